@@ -51,7 +51,7 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         back._stemmata_keep = self  # the id above stays valid while the table is in use
