@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemmata.llm import cutoff, encode, groups, pack, repeats, spans, split, terms, topn
+from stemmata.llm import cutoff, encode, groups, pack, repeats, scans, spans, split, terms, topn
 from stemmata.operators.current import latest
 from stemmata.scratch import Scratch
 
@@ -59,6 +59,11 @@ def p3_shared(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("longest_to_chain", F.when(F.col("chain_len") > 0, F.col("longest") / F.col("chain_len")))
 
 
+def p3_passages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spans.sides(records(spark, sf, ["snippet_i", "snippet_j"]), "match_id", ["snippet_i", "snippet_j"])
+    return spans.fuzzy_passages(rows, "match_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     scored = terms.tf_idf(segments(spark, sf, ["text"]), SEGMENT)
     return terms.shared_rare(scored, SEGMENT)
@@ -93,6 +98,23 @@ def p6_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return cutoff.report(rows, cutoff.cutoffs(rows, "work_id", "score", 0.25), "work_id", "score")
 
 
+def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All delivered rows with text, and the other snippets, which only add to the counts of words."""
+    segments_ = _read(spark, sf, "plato_respublica_598").select(F.lit("segment").alias("src"), "row_id", "work_id", "text")
+    matches = _read(spark, sf, "wp2_canon_clean")
+    snippets = matches.select(F.lit("match").alias("src"), F.col("match_id").alias("row_id"), F.col("work_i").alias("work_id"), F.col("snippet_i").alias("text"))
+    return scans.scanned(segments_.unionByName(snippets), _read(spark, sf, "works")), matches.select(F.col("snippet_j").alias("text"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.noise(scans.weigh(*_scanned(spark, sf))).select("src", "row_id", "noise")
+
+
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    rows, extra = _scanned(spark, sf)
+    return scans.repair(rows, scans.weigh(rows, extra))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(_read(spark, sf, "documents"))
 
@@ -118,7 +140,7 @@ def p10_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p3_found, p3_shared, p4_found, p4_scores, p5_found, p5_groups, p6_found, p6_cutoffs, p8_ids, p9_packing, p10_found, p10_repetition, p10_divergence)
+    for f in (p1_found, p1_pieces, p2_found, p3_found, p3_shared, p3_passages, p4_found, p4_scores, p5_found, p5_groups, p6_found, p6_cutoffs, p7_found, p7_repaired, p8_ids, p9_packing, p10_found, p10_repetition, p10_divergence)
 }
 
 
