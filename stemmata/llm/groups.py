@@ -3,9 +3,10 @@
 Vertices get dense numbers in the order of their names, so the least number of a group is its least name and
 all the iterating is done on numbers. Most links of a large match graph lie in one giant component:
 it is peeled first, by breadth-first frontier joins from the vertex with the most links, and joined away. What remains
-is many small components; they are labelled by minimum propagation with shortcuts, a vertex
-taking the least label among its neighbours and then the label of its label, so a chain of length n
-takes about log n rounds. Every round is written to the shared folder, which cuts the lineage.
+is labelled by minimum propagation: every vertex takes the least of its neighbours, by an order that is drawn anew each
+round, and the graph is replaced by its image, in which linked vertices are still linked and the others still are
+not. A fixed order would walk a long chain one step a round; with a new one the image is smaller by a constant factor, so all rounds
+together cost little more than the first. Every round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -16,55 +17,68 @@ from pyspark.sql import functions as F
 from stemmata.scratch import Scratch
 
 ROUNDS = 200
-#: once a frontier is this small a share of what is reached, with the giant component mostly taken, minimum propagation ends it
-PATIENCE = 12
+#: frontier rounds of the peeling; a component deeper than that is contracted as far as it was reached
+PEEL = 8
 
 
 def _numbered(names: DataFrame, scratch: Scratch) -> DataFrame:
-    """(name, id): ids 0.. in the order of the names. Sorted by ranges, counted by partition, so nothing is gathered."""
+    """(name, id): ids in the order of the names. Sorted by ranges, counted by partition, so nothing is gathered."""
     ranged = names.repartitionByRange("name").sortWithinPartitions("name")
-    # the written files keep partition and order in one number
     return scratch.put(ranged.select("name", F.monotonically_increasing_id().alias("id")))
 
 
-def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(reached ids of the component of the vertex with most links, or as far as the rounds went; a last frontier if it was not exhausted)."""
-    top = edges.groupBy("src").count().orderBy(F.col("count").desc(), "src").limit(1).collect()  # one row
-    spark = edges.sparkSession
-    reached = frontier = scratch.put(spark.createDataFrame([(top[0]["src"],)], "id bigint"))
-    for _ in range(PATIENCE):
+def _peel(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id): what the vertex with the most links reaches within the rounds."""
+    top = edges.groupBy("src").count().orderBy(F.col("count").desc(), "src").limit(1).select(F.col("src").alias("id"))  # one row
+    reached = frontier = scratch.put(top)
+    for _ in range(PEEL):
         step = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = scratch.put(step.join(reached, "id", "left_anti"))
         if frontier.isEmpty():
-            return reached, None
+            break
         reached = scratch.put(reached.unionByName(frontier))
-    return reached, frontier
-
-
-def _propagate(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, label): the least label within each component, from starting labels and symmetric edges."""
-    for _ in range(ROUNDS):
-        near = edges.join(labels, edges["src"] == labels["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = scratch.put(hooked)
-        # shortcut: the label is itself a vertex, whose label may be less by now
-        up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = step.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        after = scratch.put(jumped)
-        changed = not after.filter("label <> old").isEmpty()
-        scratch.drop(step)
-        labels = after.drop("old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {ROUNDS} rounds")
+    return reached
+
+
+def _image(edges: DataFrame, taken: DataFrame) -> DataFrame:
+    """The links between what the ends of the links have taken, loops and repeats dropped. ``taken`` is (id, label); an end that took nothing stays."""
+    one = taken.select(F.col("id").alias("src"), F.col("label").alias("a"))
+    two = taken.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+    moved = edges.join(one, "src", "left").join(two, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    return moved.filter("src <> dst").distinct()
+
+
+def _propagate(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, label): one label within each component of the symmetric edges, or None without edges."""
+    taken: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        if edges.isEmpty():
+            break
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
+        least = edges.groupBy("src").agg(F.min(drawn("dst")).alias("least"))
+        step = scratch.put(least.select(F.col("src").alias("id"), F.least("least", drawn("src"))["id"].alias("label")))
+        taken.append(step)
+        after = scratch.put(_image(edges, step))
+        if turn:
+            scratch.drop(edges)
+        edges = after
+    else:
+        raise RuntimeError(f"links remain after {ROUNDS} rounds")
+    labels = None
+    for step in reversed(taken):  # from the smallest graph back to the first
+        if labels is None:
+            labels = step
+        else:
+            later = labels.select(F.col("id").alias("label"), F.col("label").alias("later"))
+            labels = scratch.put(step.join(later, "label", "left").select("id", F.coalesce("later", "label").alias("label")))
+    return labels
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(name, group): every name that occurs in a link, with the least name of its component.
 
     Links are undirected; a link with a null end is dropped, a link of a name to itself makes the name a group of its own,
-    repeated links count once. Names compare by code points. An empty table gives an empty table. No row reaches the driver but
-    the name with the most links.
+    repeated links count once. Names compare by code points. An empty table gives an empty table. One number reaches the driver.
     """
     scratch = Scratch(links.sparkSession, "components")
     pairs = scratch.put(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
@@ -76,18 +90,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if edges.isEmpty():
         return names.select("name", F.col("name").alias("group"))
 
-    reached, frontier = _peel(edges, scratch)
-    least = reached.agg(F.min("id").alias("label")).collect()[0]["label"]  # one row
-    if frontier is None:
-        rest = edges.join(reached, edges["src"] == reached["id"], "left_anti")
-        lone = names.select("id").join(reached, "id", "left_anti").select("id", F.col("id").alias("label"))
-        small = _propagate(scratch.put(lone), scratch.put(rest), scratch)
-        labels = reached.select("id", F.lit(least).cast("bigint").alias("label")).unionByName(small)
-    else:  # a component too deep for the frontier: its reached part starts with one label and carries on
-        start = names.select("id").join(reached.withColumn("hit", F.lit(True)), "id", "left")
-        labels = _propagate(scratch.put(start.select("id", F.when(F.col("hit"), F.lit(least).cast("bigint")).otherwise(F.col("id")).alias("label"))), edges, scratch)
-    heads = labels.select("label").distinct().join(names.select(F.col("id").alias("label"), F.col("name").alias("group")), "label")
-    return scratch.put(labels.join(names, "id").join(heads, "label").select("name", "group"))
+    reached = _peel(edges, scratch)
+    first = reached.agg(F.min("id").alias("id")).collect()[0]["id"]  # one number
+    peeled = scratch.put(reached.select("id", F.lit(first).cast("bigint").alias("label")))
+    # without the links inside what was reached; those that lead out of it, if the rounds did not do, now lead out of its least vertex
+    rest = _propagate(scratch.put(_image(edges, peeled)), scratch)
+    labels = names.select("id").join(peeled, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    if rest is not None:
+        later = rest.select(F.col("id").alias("label"), F.col("label").alias("later"))
+        labels = labels.join(later, "label", "left").select("id", F.coalesce("later", "label").alias("label"))
+    labels = scratch.put(labels)
+    heads = labels.groupBy("label").agg(F.min("id").alias("head"))
+    named = heads.join(names.select(F.col("id").alias("head"), F.col("name").alias("group")), "head").select("label", "group")
+    return scratch.put(labels.join(names, "id").join(named, "label").select("name", "group"))
 
 
 def passages(records: DataFrame) -> DataFrame:
