@@ -1,11 +1,455 @@
-"""The engine's own queries by name, and their SQL."""
+"""The engine's own queries by name, over whole tables.
+
+Segments are the current rows of plato_respublica_598, records those of wp2_canon_clean with eras trimmed and
+lower-cased ('unknown' for none), references trimmed and NaN scores as null.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stemmata.config import PACKAGES, Params
+from stemmata.functions import similarity as sim
+from stemmata.functions.cleaning import clean, clean_text, is_greek
+from stemmata.operators import align, grams, importer, numbers, packages, passages, retrieval, subwords, topos, units, verdicts
+from stemmata.operators.current import latest
+from stemmata.plans import sweep as sweeps
+from stemmata.plans.sql import SQL as _SQL
+from stemmata.scratch import Scratch
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "match_records"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = _SQL
+QUERIES: dict[str, Query] = {}
+PAIR = ["work_i", "work_j", "i", "j"]
+RULES = verdicts.Rules(fp_chain_below=8, fp_score_below=0.01, verify=verdicts.package_names(["1", "2"]), verify_chain=10, verify_score=0.05)
+_SWEEPS: dict[tuple[str, str], sweeps.Sweep] = {}
+_RECORDS: dict[tuple[str, str], DataFrame] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "plato_respublica_598").select("work_id", "seg_pos", "chapter", "page", "ref", "text", "loaded_at", "row_id")
+    return latest(rows, ["work_id", "seg_pos"], ["loaded_at", "row_id"]).filter(F.coalesce("text", F.lit("")) != "")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    rows = latest(read(spark, sf, "wp2_canon_clean"), ["rel_id"], ["loaded_at", "match_id"])
+    era = lambda s: F.coalesce(F.nullif(F.lower(F.trim(f"era_{s}")), F.lit("")), F.lit("unknown"))
+    return rows.withColumns({"era_i": era("i"), "era_j": era("j"), "ref_i": F.trim("ref_i"), "ref_j": F.trim("ref_j"), "score": F.when(~F.isnan("score"), F.col("score"))})
+
+
+def swept(spark: SparkSession, sf: str) -> sweeps.Sweep:
+    """The sweep's tables, made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SWEEPS:
+        _SWEEPS[key] = sweeps.prepare(segments(spark, sf), read(spark, sf, "works"))
+    return _SWEEPS[key]
+
+
+def found_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep's records with match_id in the order of works and units, made once. They are a report: one row a matching pair of windows."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RECORDS:
+        scratch = Scratch(spark, "records")
+        rows = scratch.put(sweeps.records(swept(spark, sf)))
+        sorted_ = rows.repartitionByRange(*PAIR).sortWithinPartitions(*PAIR)
+        # numbered by partition: sizes of the partitions before, then the place inside
+        from pyspark.sql import Window
+
+        placed = scratch.put(sorted_.withColumn("part", F.spark_partition_id()))
+        inside = F.row_number().over(Window.partitionBy("part").orderBy(*PAIR))
+        sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+        before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+        offsets = sizes.select("part", before.alias("offset"))
+        numbered = placed.withColumn("n", inside).join(F.broadcast(offsets), "part").withColumn("match_id", F.col("n") + F.col("offset")).drop("part", "n", "offset")
+        _RECORDS[key] = scratch.put(numbered)
+    return _RECORDS[key]
+
+
+def tagged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = found_records(spark, sf)
+    return topos.tag_global(rows, rows)
+
+
+def ruled(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.apply_rules(packages.all_packages(records(spark, sf)), RULES)
+
+
+# text and units -------------------------------------------------------------------------------
+
+
+@query
+def clean_text_(spark: SparkSession, sf: str) -> DataFrame:
+    plain = clean(F.col("text"))
+    return segments(spark, sf).select("work_id", "seg_pos", plain.alias("plain"), clean_text(F.col("text")).alias("text"), is_greek(plain).alias("greek"))
+
+
+@query
+def window_units(spark: SparkSession, sf: str) -> DataFrame:
+    return units.numbered(units.windows(units.page_texts(segments(spark, sf)))).select("work_id", "unit_pos", "label", "text")
+
+
+@query
+def segment_units(spark: SparkSession, sf: str) -> DataFrame:
+    return units.page_texts(segments(spark, sf), "segment").select("work_id", F.col("pos").alias("seg_pos"), "label", "text")
+
+
+@query
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return subwords.word_counts(units.build_units(segments(spark, sf)))
+
+
+@query
+def built_works(spark: SparkSession, sf: str) -> DataFrame:
+    return units.built_works(read(spark, sf, "works"), read(spark, sf, "plato_respublica_598"))
+
+
+@query
+def work_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.work_pairs(built_works(spark, sf)).select("work_i", "work_j")
+
+
+@query
+def character_subwords(spark: SparkSession, sf: str) -> DataFrame:
+    counts = subwords.word_counts(swept(spark, sf).units)
+    subs = subwords.dictionary(counts, subwords.Model(), 0)
+    return subs.join(counts, "word").select(F.explode("subs").alias("sub"), "n").groupBy("sub").agg(F.sum("n").alias("n"))
+
+
+@query
+def stop_subwords(spark: SparkSession, sf: str) -> DataFrame:
+    counts = subwords.word_counts(swept(spark, sf).units)
+    return subwords.stop_subwords(counts, subwords.dictionary(counts, subwords.Model(), 0))
+
+
+@query
+def tail_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return importer.trim_tails(read(spark, sf, "documents")).select("doc_id", "length", "cut")
+
+
+@query
+def folio_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return importer.folio_segments(read(spark, sf, "documents"))
+
+
+@query
+def text_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").filter(F.col("text").isNotNull())
+    return docs.select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("hash"))
+
+
+# retrieval and scores -------------------------------------------------------------------------
+
+
+@query
+def bigram_df(spark: SparkSession, sf: str) -> DataFrame:
+    u = swept(spark, sf).units
+    return retrieval.bigram_df(grams.bigrams(u), u)
+
+
+@query
+def candidates_v1(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return retrieval.candidates(s.units, s.works, Params(mode="v1"))
+
+
+@query
+def candidates_v2(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return retrieval.candidates(s.units, s.works, Params())
+
+
+@query
+def candidates_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.top_candidates(swept(spark, sf).found, 2)
+
+
+@query
+def candidate_meta(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return retrieval.candidate_meta(s.found, s.units, 2)
+
+
+@query
+def leave_out_grams(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return grams.leave_out_grams(s.units, s.params).withColumn("gram", F.array_join("gram", " "))
+
+
+@query
+def idf_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    _, index = sweeps.index_of(swept(spark, sf))
+    return index.select(F.array_join("gram", " ").alias("gram"), "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return sweeps.scored(swept(spark, sf)).select(*PAIR, F.round("score", 6).alias("score"))
+
+
+@query
+def auto_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    t = grams.auto_threshold(sweeps.scored(swept(spark, sf)), ["work_i", "work_j"])
+    return t.select("work_i", "work_j", "n", F.round("mean", 6).alias("mean"), F.round("threshold", 6).alias("threshold"))
+
+
+# alignment and records ------------------------------------------------------------------------
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The relational form of the alignment's first step: every agreeing pair of words of every candidate."""
+    s = swept(spark, sf)
+    pairs = align.with_words(s.candidates.select(*PAIR), s.units)
+    one = pairs.select(*PAIR, "norm_j", F.posexplode("norm_i").alias("wi", "a"))
+    return one.select(*PAIR, "wi", "a", F.posexplode("norm_j").alias("wj", "b"))
+
+
+@query
+def word_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cells(spark, sf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = F.col("a"), F.col("b")
+    return rows.select("a", "b", F.round(sim.ratio(a, b), 9).alias("ratio"), sim.word_match(a, b, 0.75).alias("agree"))
+
+
+@query
+def match_cells(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cells(spark, sf).filter(sim.word_match(F.col("a"), F.col("b"), 0.75))
+    return rows.groupBy(*PAIR).agg(F.count("*").alias("cells"), F.count_distinct(F.col("wj") - F.col("wi")).alias("diagonals"))
+
+
+@query
+def diagonal_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = _cells(spark, sf).filter(sim.word_match(F.col("a"), F.col("b"), 0.75)).withColumn("d", F.col("wj") - F.col("wi"))
+    w = Window.partitionBy(*PAIR, "d").orderBy("wi")
+    opens = F.when(F.col("wi") - F.lag("wi").over(w) == 1, 0).otherwise(1)
+    runs = rows.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w)).groupBy(*PAIR, "d", "run").agg(F.count("*").alias("length"))
+    return runs.groupBy(*PAIR).agg(F.max("length").alias("longest"), F.count("*").alias("runs"))
+
+
+@query
+def kept_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return align.kept_blocks(s.candidates.select(*PAIR), s.units, s.params)
+
+
+@query
+def bridges(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return align.bridge_words(s.candidates.select(*PAIR), s.units, s.params)
+
+
+@query
+def pair_events(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return align.pair_events(s.candidates.select(*PAIR), s.units, s.params)
+
+
+@query
+def match_records(spark: SparkSession, sf: str) -> DataFrame:
+    return found_records(spark, sf).drop("lo_i", "hi_i", "lo_j", "hi_j", "title_i", "title_j")
+
+
+@query
+def passage_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.clusters(found_records(spark, sf))
+
+
+@query
+def distinct_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.distinct_passages(found_records(spark, sf))
+
+
+@query
+def passage_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.neighbours(found_records(spark, sf))
+
+
+# commonplaces ---------------------------------------------------------------------------------
+
+
+@query
+def topos_tag_global(spark: SparkSession, sf: str) -> DataFrame:
+    return tagged(spark, sf).select("match_id", "work_i", "work_j", "tag", "tag_origin")
+
+
+@query
+def topos_per_work(spark: SparkSession, sf: str) -> DataFrame:
+    return topos.per_work(tagged(spark, sf))
+
+
+def _focus(rows: DataFrame) -> str:
+    """The work that occurs in most records."""
+    top = rows.select(F.explode(F.array("work_i", "work_j")).alias("w")).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(1).collect()
+    return top[0]["w"] if top else ""
+
+
+@query
+def topos_partner(spark: SparkSession, sf: str) -> DataFrame:
+    rows = found_records(spark, sf)
+    focus = _focus(rows)
+    return topos.partner_breakdown(topos.tag_single(rows, rows.filter((F.col("era_i") == "ancient_classical") | (F.col("era_j") == "ancient_classical")), focus), focus)
+
+
+@query
+def control_compare(spark: SparkSession, sf: str) -> DataFrame:
+    rows = found_records(spark, sf)
+    focus = _focus(rows)
+    return topos.compare_controls(topos.tag_single(rows, rows, focus, coords="local"), topos.tag_single(rows, rows, focus, coords="absolute"), focus)
+
+
+# packages and numbers -------------------------------------------------------------------------
+
+_SHOWN = ["match_id", "work_i", "work_j", "chain_len", "score"]
+
+
+@query
+def wp1(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.package(records(spark, sf), PACKAGES[0], "none").select(*_SHOWN)
+
+
+@query
+def wp2(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.package(records(spark, sf), PACKAGES[1], "absolute").select(*_SHOWN)
+
+
+@query
+def wp3(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.package(records(spark, sf), PACKAGES[2], "auto", corpus_idf=True).select(*_SHOWN)
+
+
+@query
+def wp4(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.synthesis(records(spark, sf)).select(*_SHOWN)
+
+
+@query
+def wp_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.package(records(spark, sf), PACKAGES[1], "percentile").select("match_id", "score")
+
+
+@query
+def percentile_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.percentile(records(spark, sf), ["work_i", "work_j"]).select("match_id", F.round("pct", 9).alias("pct"))
+
+
+@query
+def control_set(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.control_set(records(spark, sf)).select("match_id", "era_i", "era_j")
+
+
+@query
+def wp_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.package_report(records(spark, sf))
+
+
+@query
+def wp_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.composition(records(spark, sf))
+
+
+@query
+def wp_delta(spark: SparkSession, sf: str) -> DataFrame:
+    earlier = spark.createDataFrame([("wp1", 7), ("wp2", 14), ("wp3", 678), ("wp4", 4561)], "wp_key string, shipped bigint")
+    return packages.delta(records(spark, sf), earlier)
+
+
+@query
+def longest_by_package(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.longest(packages.all_packages(records(spark, sf)), 3, ["wp_key"]).select("wp_key", "match_id", "chain_len", "rank")
+
+
+@query
+def partition_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.partition(records(spark, sf))
+
+
+@query
+def tag_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.tag_analysis(records(spark, sf))
+
+
+@query
+def era_base(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.era_base(records(spark, sf))
+
+
+@query
+def chain_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.chain_distribution(records(spark, sf))
+
+
+@query
+def era_pair_top(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.era_pair_top(records(spark, sf)).select("era_first", "era_second", "match_id", "chain_len", "rank")
+
+
+@query
+def leaders(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.leaders(records(spark, sf))
+
+
+@query
+def report_split(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.report_split(records(spark, sf))
+
+
+@query
+def saturation(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.saturation(records(spark, sf))
+
+
+@query
+def author_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.with_authors(records(spark, sf), read(spark, sf, "works")).select("match_id", "author_i", "author_j")
+
+
+@query
+def reference_parts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = records(spark, sf).filter(F.col("ref_i").isNotNull())
+    span = sim.abs_span(F.col("ref_i"), F.lit(0), F.lit(0))
+    return rows.select("match_id", sim.ref_prefix(F.col("ref_i")).alias("page_i"), span["unit"].alias("unit_i"), span["lo"].alias("base_i"))
+
+
+@query
+def clipped_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return records(spark, sf).filter(F.col("snippet_i").isNotNull()).select("match_id", sim.clip(F.col("snippet_i"), 70).alias("snippet"))
+
+
+# verdicts -------------------------------------------------------------------------------------
+
+
+@query
+def verdict_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return ruled(spark, sf).select("wp_key", "match_id", "status")
+
+
+@query
+def verdict_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.stats(ruled(spark, sf))
+
+
+@query
+def verdict_decided(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.decided(ruled(spark, sf), read(spark, sf, "verdicts")).select("wp_key", "match_id", "status")
+
+
+@query
+def review_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.review(records(spark, sf), chain=(6, 20), score=0.01, author="Younger").select("match_id", "chain_len", "score")
+
+
+QUERIES["clean_text"] = QUERIES.pop("clean_text_")
