@@ -87,6 +87,13 @@ def ruled(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.apply_rules(packages.all_packages(records(spark, sf)), RULES)
 
 
+def aligned_cells(spark: SparkSession, sf: str) -> int:
+    """Cells of all match matrices of the sweep: the measure of the alignment's work."""
+    s = swept(spark, sf)
+    pairs = align.with_words(s.candidates.select(*PAIR), s.units)
+    return pairs.agg(F.coalesce(F.sum(F.size("norm_i") * F.size("norm_j")), F.lit(0)).alias("n")).collect()[0]["n"]
+
+
 # text and units -------------------------------------------------------------------------------
 
 
