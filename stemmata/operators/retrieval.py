@@ -28,18 +28,24 @@ def bigram_df(grams: DataFrame, units: DataFrame) -> DataFrame:
 def candidates(units: DataFrame, works: DataFrame, params: Params) -> DataFrame:
     """(work_i, work_j, i, j, shared): pairs of units of two works with at least ``min_shared`` common bigrams.
 
-    v2 leaves a bigram out if it is frequent in both works, v1 if it is in the second. Only bigrams of two works or more are joined. The
-    hot keys of the join are the frequent bigrams, which the caps bound for each work; the rest is left to the skew join.
+    v2 leaves a bigram out if it is frequent in both works, v1 if it is in the second. Bigrams of one work only are dropped before the join, on the
+    counts per work. The join never meets frequent with frequent: in v2 the second side has a lane for its frequent rows, and only
+    rows that are not frequent on the first side go there; in v1 frequent rows have no second side.
     """
     grams = bigrams(units)
-    known = bigram_df(grams, units).withColumn("frequent", F.col("df") > F.col("cap")).select("work_id", "g1", "g2", "frequent")
-    more = grams.select("work_id", "g1", "g2").distinct().groupBy("g1", "g2").count().filter("count > 1").select("g1", "g2")
-    ord_ = works.select("work_id", "ord")
-    rows = grams.join(more, ["g1", "g2"], "left_semi").join(known, ["work_id", "g1", "g2"]).join(ord_, "work_id")
-    side = lambda s: rows.select("g1", "g2", F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("ord").alias(f"ord_{s}"), F.col("frequent").alias(f"frequent_{s}"))
-    hits = side("i").join(side("j"), ["g1", "g2"]).filter(F.col("ord_i") < F.col("ord_j"))
-    left_out = F.col("frequent_j") if params.mode == "v1" else F.col("frequent_i") & F.col("frequent_j")
-    return hits.filter(~left_out).groupBy(*PAIR, "i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= params.min_shared)
+    counted = bigram_df(grams, units)
+    # a group holds one row a work
+    works_with = F.count("*").over(Window.partitionBy("g1", "g2"))
+    known = counted.withColumn("n", works_with).filter("n > 1").select("work_id", "g1", "g2", (F.col("df") > F.col("cap")).alias("frequent"))
+    rows = grams.join(known, ["work_id", "g1", "g2"]).join(works.select("work_id", "ord"), "work_id")
+    side = lambda s: [F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("ord").alias(f"ord_{s}")]
+    if params.mode == "v1":
+        left, right = rows.select("g1", "g2", F.lit(0).alias("lane"), *side("i")), rows.filter(~F.col("frequent")).select("g1", "g2", F.lit(0).alias("lane"), *side("j"))
+    else:
+        lanes = F.when(F.col("frequent"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        left, right = rows.select("g1", "g2", F.explode(lanes).alias("lane"), *side("i")), rows.select("g1", "g2", F.col("frequent").cast("int").alias("lane"), *side("j"))
+    hits = left.join(right, ["g1", "g2", "lane"]).filter(F.col("ord_i") < F.col("ord_j"))
+    return hits.groupBy(*PAIR, "i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= params.min_shared)
 
 
 def top_candidates(found: DataFrame, most: int) -> DataFrame:
