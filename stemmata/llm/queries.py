@@ -154,7 +154,7 @@ _UNIT_OF = "trim(split_part({}, '#', 1))"
 
 SQL: dict[str, str] = {
     "p1_found": rf"""
-WITH p AS (SELECT work_id, coalesce(chapter, '') AS chapter, coalesce(page, '') AS page, text FROM {_SEGMENTS} WHERE regexp_matches(text, '[^\s\x0b]')),
+WITH p AS (SELECT work_id, chapter, coalesce(page, '') AS page, text FROM {_SEGMENTS} WHERE regexp_matches(text, '[^\s\x0b]')),
 m AS (SELECT *, list_max(list_transform(string_split(regexp_replace(regexp_replace(text, '([.;·!?\x{{37e}}\x{{387}}])\s+', '\1' || chr(1), 'g'), '\s*\n\s*\n\s*', chr(1), 'g'), chr(1)), lambda s: length(trim(s, chr(32) || chr(9) || chr(10) || chr(13))))) AS sentence,
   list_max(list_transform(regexp_split_to_array(text, '\s+'), lambda s: length(s))) AS run FROM p),
 u AS (SELECT work_id, chapter, page, sum(length(text)) + count(*) - 1 AS length, max(sentence) AS sentence, max(run) AS run FROM m GROUP BY ALL)

@@ -127,6 +127,8 @@ def _profiles(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         known: dict[str, int] = {}
         for b in batches:
             b = b[b[text].notna()]
+            if b.empty:
+                continue
             counts = [Counter(tokens(t)) for t in b[text]]
             yield pd.DataFrame({key: b[key], lang: b[lang], "classes": [class_histogram(t, known) for t in b[text]], "n_tokens": [sum(c.values()) for c in counts], "words": [list(c.items()) for c in counts]})
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,7 @@ def longest_run(text: str) -> int:
 
 
 def parts_of(segments: DataFrame) -> DataFrame:
-    """(work_id, chapter, page, seg_pos, text): segments whose text is not null or blank; a null page or chapter is ''."""
+    """(work_id, chapter, page, seg_pos, text): segments whose text is not null or blank; a null page is ''."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return segments.filter(~is_blank(F.col("text"))).select("work_id", "chapter", empty("page"), F.col("seg_pos").cast("bigint").alias("seg_pos"), "text")
 
@@ -77,6 +78,11 @@ def oversized(table: DataFrame, unit: list[str], *, limit: int = LIMIT) -> DataF
     return whole.filter(F.col("length") > limit).select(*unit, "length", kind.alias("boundary"))
 
 
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    """Equality of all columns, null like any value."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+
+
 def offsets(table: DataFrame, unit: list[str], order: str, *, block: int = BLOCK) -> DataFrame:
     """(unit, order, length, offset): where each part starts in its unit, one space between parts."""
     rows = table.select(*unit, order, "length").withColumn("__block", F.floor(F.col(order) / F.lit(block)))
@@ -84,11 +90,7 @@ def offsets(table: DataFrame, unit: list[str], order: str, *, block: int = BLOCK
     inside = rows.withColumn("__in", before(Window.partitionBy(*unit, "__block").orderBy(order), F.col("length") + 1))
     sums = rows.groupBy(*unit, "__block").agg(F.sum(F.col("length") + 1).alias("__sum"))
     starts = sums.withColumn("__start", before(Window.partitionBy(*unit).orderBy("__block"), "__sum")).drop("__sum")
-    same = [inside[c].eqNullSafe(starts[c]) for c in (*unit, "__block")]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    return inside.join(starts, cond).select(*[inside[c] for c in (*unit, order)], "length", (F.col("__in") + F.col("__start")).alias("offset"))
+    return inside.join(starts, _same(inside, starts, [*unit, "__block"])).select(*[inside[c] for c in (*unit, order)], "length", (F.col("__in") + F.col("__start")).alias("offset"))
 
 
 def _ends(text: str) -> tuple[list[int], list[int]]:
@@ -147,14 +149,16 @@ def pieces(parts: DataFrame, table: DataFrame, unit: list[str], order: str, text
     """(unit, start, end, cut, text): the ordered pieces of all units over the limit.
 
     A piece has at most ``limit`` characters. It ends after the last sentence that fits, else after the last word, else at the limit;
-    ``cut`` says which ('end' at the unit's end). The next piece begins ``overlap`` characters before its end. Unit columns must not be
-    null. ``table`` is the boundary table of ``parts``. An empty table gives an empty table.
+    ``cut`` says which ('end' at the unit's end). The next piece begins ``overlap`` characters before its end. A null unit column is a value
+    like any other; the order must be unique in a unit. ``table`` is the boundary table of ``parts``. An empty table gives an empty table.
     """
     if not 0 <= overlap < limit or span < 2 * limit:
         raise ValueError("the overlap must be smaller than the limit, and a range at least twice the limit")
     big = oversized(table, unit, limit=limit).select(*unit, F.col("length").alias("__unit"))
-    placed = offsets(table, unit, order).join(big, unit)
-    carried = parts.select(*unit, order, text).join(placed, [*unit, order])
+    at_ = offsets(table, unit, order)
+    placed = at_.join(big, _same(at_, big, unit)).select(*[at_[c] for c in (*unit, order)], "length", "offset", "__unit")
+    own = parts.select(*unit, order, text)
+    carried = own.join(placed, _same(own, placed, [*unit, order])).select(*[own[c] for c in (*unit, order, text)], "length", "offset", "__unit")
     at, size = F.col("offset"), F.col("length") + 1  # a part and the space behind it
     first = F.greatest(F.lit(0), F.floor((at - limit - 1) / F.lit(span)))
     last = F.least(F.floor((at + size - 1 + overlap) / F.lit(span)), F.floor((F.col("__unit") - 1) / F.lit(span)))

@@ -26,6 +26,8 @@ def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b[text].notna()]
+            if b.empty:
+                continue
             counts = [Counter(tokens(t)) for t in b[text]]
             out = {k: b[k] for k in keys}
             yield pd.DataFrame(out | {"terms": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts], "n_terms": [sum(c.values()) for c in counts]})
