@@ -119,20 +119,37 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (against(p) + against(q)) / 2)))
 
 
-def _profiles(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, classes, n_tokens, words): the histograms of each text."""
-    kinds = dict(docs.dtypes)
+def _sums(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, kind, item, n): how often each character class ('class') and each word ('word') stands in each language, summed by batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for b in batches:
-            b = b[b[text].notna()]
-            if b.empty:
-                continue
-            counts = [Counter(tokens(t)) for t in b[text]]
-            yield pd.DataFrame({key: b[key], lang: b[lang], "classes": [class_histogram(t, known) for t in b[text]], "n_tokens": [sum(c.values()) for c in counts], "words": [list(c.items()) for c in counts]})
-
-    return docs.select(key, lang, text).mapInPandas(run, f"`{key}` {kinds[key]}, `{lang}` string, classes array<bigint>, n_tokens bigint, words array<struct<word:string,n:bigint>>")
+            rows: list[tuple[str, str, str, int]] = []
+            for name, texts in b[b[text].notna()].groupby(lang)[text]:
+                classes, words = np.zeros(len(CLASSES), dtype=np.int64), Counter()
+                for t in texts:
+                    classes += class_histogram(t, known)
+                    words.update(tokens(t))
+                rows += [(name, "class", c, int(n)) for c, n in zip(CLASSES, classes)]
+                rows += [(name, "word", w, n) for w, n in words.items()]
+            yield pd.DataFrame(rows, columns=["lang", "kind", "item", "n"])
+
+    return docs.select(lang, text).mapInPandas(run, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+
+
+def references(docs: DataFrame, text: str, lang: str, common: int = COMMON) -> DataFrame:
+    """(lang, classes, words, counts, total): per language its character classes, its ``common`` most frequent words with their counts, and all words' number."""
+    sums = Scratch(docs.sparkSession, "references").put(_sums(docs, text, lang))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("item") == c, F.col("n"))), F.lit(0))
+    classes = sums.filter("kind = 'class'").groupBy("lang").agg(F.array(*[of(c) for c in CLASSES]).alias("classes"))
+    words = sums.filter("kind = 'word'")
+    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "item"))
+    top = words.withColumn("rank", rank).filter(F.col("rank") <= common)
+    heads = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("top"))  # `common` entries each
+    listed = heads.select("lang", F.col("top.item").alias("words"), F.col("top.n").alias("counts"))
+    return classes.join(total, "lang").join(listed, "lang")
 
 
 def divergence(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, least_tokens: int = LEAST_TOKENS, common: int = COMMON) -> DataFrame:
@@ -142,36 +159,34 @@ def divergence(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     (ties by word) with all others as one class. A null language is one of its own. Texts under ``least_tokens`` tokens, null texts among them, get null
     distances. An empty table gives an empty table. A language that holds most rows is pre-aggregated map-side; only sums are shuffled.
     """
-    scratch = Scratch(docs.sparkSession, "divergence")
     label = "__lang"
-    rows = docs.select(key, F.coalesce(F.col(lang), F.lit("")).alias(label), text)
-    profiles = scratch.put(_profiles(rows, key, text, label))
-    sums = [F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)]
-    by_class = profiles.groupBy(label).agg(F.array(*sums).alias("ref_classes"), F.sum("n_tokens").alias("all_tokens"))
-    by_word = profiles.select(label, F.explode("words").alias("w")).groupBy(label, "w.word").agg(F.sum("w.n").alias("n"))
-    ranked = by_word.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(F.col("n").desc(), "word"))).filter(F.col("rank") <= common)
-    heads = ranked.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ref_words"))  # `common` entries each
-    joined = profiles.join(scratch.put(by_class.join(heads, label, "left")), label, "left")
+    rows = docs.select(key, F.coalesce(F.col(lang).cast("string"), F.lit("")).alias(label), text)
+    refs = Scratch(docs.sparkSession, "divergence").put(references(rows, text, label, common))
+    named = refs.select(F.col("lang").alias(label), *[F.col(c).alias(f"__{c}") for c in ("classes", "words", "counts", "total")])
+    joined = rows.join(named, label, "left")
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        of: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]] = {}
         for b in batches:
-            out = []
-            for classes, n, words, ref, total, top in zip(b["classes"], b["n_tokens"], b["words"], b["ref_classes"], b["all_tokens"], b["ref_words"]):
-                if n < least_tokens:
-                    out.append((None, None))
+            n, far = [], []
+            for name, t, classes, words, counts, total in zip(b[label], b[text], b["__classes"], b["__words"], b["__counts"], b["__total"]):
+                own = tokens(t) if t is not None else []
+                n.append(len(own))
+                if len(own) < least_tokens:
+                    far.append((None, None))
                     continue
-                top = dict(top)
-                order = sorted(top)
-                own = {w["word"]: w["n"] for w in words if w["word"] in top}
-                mine = np.array([own.get(w, 0) for w in order] + [n - sum(own.values())], dtype=float)
-                theirs = np.array([top[w] for w in order] + [total - sum(top.values())], dtype=float)
-                out.append((jensen_shannon(np.asarray(classes, dtype=float), np.asarray(ref, dtype=float)), jensen_shannon(mine, theirs)))
-            yield pd.DataFrame({key: b[key], lang: b[label], "n_tokens": b["n_tokens"], "class_distance": pd.Series([x for x, _ in out], dtype="float64"), "word_distance": pd.Series([x for _, x in out], dtype="float64")})
+                if name not in of:
+                    of[name] = np.asarray(classes, dtype=float), {w: i for i, w in enumerate(words)}, np.append(np.asarray(counts, dtype=float), total - sum(counts))
+                ref, place, theirs = of[name]
+                mine = np.zeros(len(theirs))
+                for w, c in Counter(own).items():
+                    mine[place.get(w, len(place))] += c
+                far.append((jensen_shannon(np.asarray(class_histogram(t, known), dtype=float), ref), jensen_shannon(mine, theirs)))
+            yield pd.DataFrame({key: b[key], lang: b[label], "n_tokens": n, "class_distance": pd.Series([x for x, _ in far], dtype="float64"), "word_distance": pd.Series([x for _, x in far], dtype="float64")})
 
     found = joined.mapInPandas(run, f"`{key}` {kind}, `{lang}` string, n_tokens bigint, class_distance double, word_distance double")
     # pandas turns null distances into NaN on the way
     number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    named = found.select(key, F.when(F.col(lang) != "", F.col(lang)).alias(lang), "n_tokens", number("class_distance"), number("word_distance"))
-    missing = docs.filter(F.col(text).isNull()).select(key, F.col(lang).cast("string").alias(lang), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"))
-    return named.unionByName(missing)
+    return found.select(key, F.when(F.col(lang) != "", F.col(lang)).alias(lang), "n_tokens", number("class_distance"), number("word_distance"))
