@@ -32,33 +32,46 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
         for i in set(range(len(a))) - set(short):
             out[i] = [_distance(a[i], w) for w in b]
         return out
-    code = {c: k + 1 for k, c in enumerate(sorted(set("".join(a)) | set("".join(b))))}
-    masks = np.zeros((len(a), len(code) + 1), dtype=np.uint64)
+    code = {c: k for k, c in enumerate(sorted(set("".join(a)) | set("".join(b))))}
+    bits = np.uint32 if la.max() <= 31 else np.uint64  # the narrower the faster
+    masks = np.zeros((len(code), len(a)), dtype=bits)
     for i, w in enumerate(a):
         for k, c in enumerate(w):
-            masks[i, code[c]] |= np.uint64(1 << k)
-    letters = np.zeros((len(b), int(lb.max(initial=0))), dtype=np.int64)
-    for j, w in enumerate(b):
-        letters[j, : len(w)] = [code[c] for c in w]
-    one = np.uint64(1)
-    last = np.where(la > 0, one << np.maximum(la - 1, 0).astype(np.uint64), np.uint64(0))[:, None]
-    plus = np.full(out.shape, ~np.uint64(0))
-    minus = np.zeros(out.shape, dtype=np.uint64)
-    score = np.repeat(la[:, None], len(b), axis=1)
-    for t in range(letters.shape[1]):
-        eq = masks[:, letters[:, t]]
-        live = lb > t
-        vertical = eq | minus
-        horizontal = (((eq & plus) + plus) ^ plus) | eq
-        up = minus | ~(horizontal | plus)
-        down = plus & horizontal
-        score = score + np.where(live, ((up & last) != 0).astype(np.int64) - ((down & last) != 0), 0)
-        up = (up << one) | one
-        down = down << one
-        plus, minus = np.where(live, down | ~(vertical | up), plus), np.where(live, up & vertical, minus)
-    empty = la == 0
-    score[empty] = lb
-    return score
+            masks[code[c], i] |= bits(1 << k)
+    # the longest words first: those that are read to their end drop out of the rows at work
+    order = np.argsort(-lb, kind="stable")
+    longest = int(lb.max(initial=0))
+    letters = np.zeros((longest, len(b)), dtype=np.int64)
+    for row, j in enumerate(order):
+        letters[: lb[j], row] = [code[c] for c in b[j]]
+    at_work = [int((lb > t).sum()) for t in range(longest)]
+    one = bits(1)
+    last = np.where(la > 0, one << np.maximum(la - 1, 0).astype(bits), bits(0))
+    plus = np.full((len(b), len(a)), ~bits(0))
+    minus = np.zeros((len(b), len(a)), dtype=bits)
+    score = np.repeat(la[None, :].astype(np.int32), len(b), axis=0)
+    for t in range(longest):
+        k = at_work[t]
+        vp, vn = plus[:k], minus[:k]
+        eq = masks[letters[t, :k]]
+        vertical = eq | vn
+        horizontal = eq & vp
+        horizontal += vp
+        horizontal ^= vp
+        horizontal |= eq
+        up = ~(horizontal | vp)
+        up |= vn
+        down = vp & horizontal
+        score[:k] += (up & last) != 0
+        score[:k] -= (down & last) != 0
+        up <<= one
+        up |= one
+        down <<= one
+        plus[:k] = ~(vertical | up) | down
+        minus[:k] = up & vertical
+    out[:, order] = score.T
+    out[la == 0] = lb
+    return out
 
 
 def _distance(a: str, b: str) -> int:
@@ -70,14 +83,21 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def _numbered(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and the number of each word among them."""
+    seen: dict[str, int] = {}
+    at = [seen.setdefault(w, len(seen)) for w in words]
+    return list(seen), np.array(at, dtype=np.int64)
+
+
 def cells(a: list[str], b: list[str], fuzz: float) -> np.ndarray:
     """Which words agree: equal, or lengths near enough and the ratio at least ``fuzz``."""
-    da, ia = np.unique(np.array(a, dtype=object), return_inverse=True)
-    db, ib = np.unique(np.array(b, dtype=object), return_inverse=True)
+    da, ia = _numbered(a)
+    db, ib = _numbered(b)
     la = np.array([len(w) for w in da], dtype=np.float64)[:, None]
     lb = np.array([len(w) for w in db], dtype=np.float64)[None, :]
     total = la + lb
-    d = distances(list(da), list(db))
+    d = distances(da, db)
     with np.errstate(invalid="ignore", divide="ignore"):
         near = ~(np.abs(la - lb) / total > 1.0 - fuzz) & (1.0 - d / total >= fuzz)
     return ((d == 0) | near)[ia][:, ib]
