@@ -270,6 +270,20 @@ def match_records(spark: SparkSession, sf: str) -> DataFrame:
     return found_records(spark, sf).drop("lo_i", "hi_i", "lo_j", "hi_j", "title_i", "title_j")
 
 
+@query
+def sweep_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return sweeps.diagnostics(swept(spark, sf))
+
+
+@query
+def record_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each record the words inside its ranges that matched nothing, and one line for a reader."""
+    rows = found_records(spark, sf)
+    gap = lambda s, n: sim.gap_words(F.col(f"lo_{s}"), F.col(f"hi_{s}"), F.col(n))
+    line = sim.format_record({c: F.col(c) for c in ("work_i", "ref_i", "work_j", "ref_j", "chain_len", "score", "snippet_i", "snippet_j")} | {"rel_id": F.col("match_id").cast("string")})
+    return rows.select("match_id", gap("i", "matched_words").alias("gap_i"), gap("j", "matched_words_j").alias("gap_j"), F.char_length(line).alias("line_length"))
+
+
 @query
 def passage_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return passages.clusters(found_records(spark, sf))

@@ -130,6 +130,12 @@ ALL = f"{BASE}, wp AS ({_wp('wp1', '7th_8th', 6)} UNION ALL {_wp('wp2', '9th_10t
 RULED = f"""{ALL}, ru AS (SELECT *, CASE WHEN (wp_key LIKE 'wp1%' OR wp_key LIKE 'wp2%') AND coalesce(chain_len, 0) >= 10 AND coalesce(score, 0) >= 0.05 THEN 'verified' WHEN coalesce(chain_len, 0) < 8 OR coalesce(score, 0) < 0.01 THEN 'false_positive' ELSE 'unverified' END AS status FROM wp)"""
 _RK = lambda e: f"CASE {e} WHEN 'ancient_classical' THEN 0 WHEN '7th_8th' THEN 1 WHEN '9th_10th' THEN 2 WHEN '11th_12th' THEN 3 ELSE 9 END"
 ORDERED = f"{M}, eo AS (SELECT *, CASE WHEN {_RK('era_i')} > {_RK('era_j')} THEN era_j ELSE era_i END AS era_first, CASE WHEN {_RK('era_i')} > {_RK('era_j')} THEN era_i ELSE era_j END AS era_second FROM m)"
+
+
+def _clipped(t: str, n: int) -> str:
+    return f"CASE WHEN length({t}) <= {n} THEN {t} WHEN regexp_matches({t}[1:{n}], '.+ [^ ]*$') THEN rtrim(regexp_extract({t}[1:{n}], '^(.+) [^ ]*$', 1)) || ' …' WHEN strpos({t}[{n} + 1:], ' ') = 0 THEN {t} ELSE rtrim({t}[1:{n} + strpos({t}[{n} + 1:], ' ') - 1]) || ' …' END"
+
+
 RECORD_COLUMNS = "match_id, work_i, work_j, i, j, n_blocks, n_chained, chain_len, matched_words, matched_words_j, word_range_i, word_range_j, snippet_i, snippet_j, score, ref_i, ref_j, era_i, era_j, author_i, author_j"
 _PCT = "(rank() OVER (PARTITION BY work_i, work_j ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY work_i, work_j, score) - 1) / 2.0) / count(score) OVER (PARTITION BY work_i, work_j)"
 
@@ -157,6 +163,13 @@ gw AS (SELECT ga.*, ui.norm[g0 + 1] AS a, uj.norm[g0 + d + 1] AS b FROM ga JOIN
 fz AS (SELECT *, round(100 * (1 - levenshtein({one_byte('a')}, {one_byte('b')}) / (length(a) + length(b))::DOUBLE), 1) AS fuzz FROM gw)
 SELECT work_i, work_j, i, j, 'i' AS side, g0 AS word, arg_max(fuzz, block) AS fuzz FROM fz GROUP BY ALL UNION ALL SELECT work_i, work_j, i, j, 'j', g0 + d, arg_max(fuzz, block) FROM fz GROUP BY ALL""",
     "match_records": f"WITH {RECORDS} SELECT {RECORD_COLUMNS} FROM rec",
+    "sweep_diagnostics": f"""WITH {CANDIDATES}, n AS (SELECT work_id, count(*) AS n FROM un GROUP BY work_id), me AS (SELECT work_i, work_j, count(*) AS before_cap FROM hits GROUP BY work_i, work_j)
+SELECT (SELECT count(*) FROM wo) AS works, (SELECT count(*) * (count(*) - 1) // 2 FROM wo) AS work_pairs, (SELECT count(*) FROM un) AS units, (SELECT count(*) FROM win WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) > 400) AS units_truncated,
+count(*) AS pairs_with_candidates, coalesce(sum(before_cap), 0)::BIGINT AS before_cap, coalesce(sum(least(before_cap, 4000)), 0)::BIGINT AS after_cap, count(*) FILTER (WHERE before_cap > 4000) AS pairs_at_cap, arg_max(work_i || ' ' || work_j, (before_cap, work_i, work_j)) AS worst_pair, 'corpus' AS idf_scope, false AS trained FROM me""",
+    "record_gaps": rf"""WITH {RECORDS}, c AS (SELECT *, replace(array_to_string(list_filter(regexp_split_to_array(snippet_i, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS ti, replace(array_to_string(list_filter(regexp_split_to_array(snippet_j, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS tj FROM rec),
+k AS (SELECT *, {_clipped('ti', 120)} AS ci, {_clipped('tj', 120)} AS cj FROM c)
+SELECT match_id, greatest(0, hi_i - lo_i + 1 - matched_words) AS gap_i, greatest(0, hi_j - lo_j + 1 - matched_words_j) AS gap_j,
+length(printf('%s | %s %s ↔ %s %s | chain %d, score %.4f | %s ↔ %s', match_id::VARCHAR, work_i, ref_i, work_j, ref_j, chain_len, score, ci, cj)) AS line_length FROM k""",
     "passage_clusters": f"WITH {PLACED} SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, count(*) AS size, min(lo_i) AS i_lo, max(hi_i) AS i_hi, min(lo_j) AS j_lo, max(hi_j) AS j_hi FROM cs GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1",
     "distinct_passages": f"WITH {PLACED}, c AS (SELECT count(*) AS size FROM cs GROUP BY work_i, unit_i, work_j, unit_j, cluster) SELECT coalesce(sum(size), 0)::BIGINT AS records, count(*) FILTER (WHERE size > 1) AS clusters, coalesce(sum(size - 1), 0)::BIGINT AS redundant, (coalesce(sum(size), 0) - coalesce(sum(size - 1), 0))::BIGINT AS passages FROM c",
     "topos_tag_global": f"WITH {TAGGED} SELECT match_id, work_i, work_j, tag, tag_origin FROM tg",

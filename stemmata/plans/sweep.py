@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemmata.config import Params
+from stemmata.config import UNIT_TOKENS, Params
+from stemmata.functions.text import raw_tokens
 from stemmata.operators import align, grams, retrieval
 from stemmata.operators.units import build_units, built_works
 from stemmata.scratch import Scratch
@@ -65,3 +66,19 @@ def records(sweep: Sweep, index: DataFrame | None = None) -> DataFrame:
     ref = lambda s: sweep.units.select(F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("label").alias(f"ref_{s}"))
     full = found.join(scores, ["work_i", "work_j", "i", "j"]).join(ref("i"), ["work_i", "i"]).join(ref("j"), ["work_j", "j"])
     return full.join(side("i"), "work_i").join(side("j"), "work_j")
+
+
+def diagnostics(sweep: Sweep, trained: bool = False) -> DataFrame:
+    """One row about a run: works, pairs of works, units, units cut at the token limit, candidates before and after the cap, pairs at the cap, the pair with most
+    candidates, scope of the scores, and whether a subword model was there. A run without candidates has nulls for the worst pair."""
+    p = sweep.params
+    meta = retrieval.candidate_meta(sweep.found, sweep.units, p.max_candidates)
+    tokens = F.size(raw_tokens(F.col("text")))
+    n = sweep.works.agg(F.count("*").alias("works")).withColumn("work_pairs", F.expr("works * (works - 1) div 2"))
+    u = sweep.units.agg(F.count("*").alias("units"), F.count_if(tokens > UNIT_TOKENS).alias("units_truncated"))
+    worst = F.max_by(F.concat_ws(" ", "work_i", "work_j"), F.struct("before_cap", "work_i", "work_j"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    c = meta.agg(F.count("*").alias("pairs_with_candidates"), total("before_cap").alias("before_cap"), total("after_cap").alias("after_cap"), F.count_if("cap_hit").alias("pairs_at_cap"), worst.alias("worst_pair"))
+    one = F.lit(1).alias("k")  # each side is one row
+    joined = n.withColumn("k", one).join(u.withColumn("k", one), "k").join(c.withColumn("k", one), "k").drop("k")
+    return joined.withColumns({"idf_scope": F.lit(p.idf_scope), "trained": F.lit(trained)})

@@ -46,6 +46,11 @@ def documents(spark: SparkSession, pattern: str) -> DataFrame:
     return chosen.select(F.col("meta.tlg_id").alias("work_id"), F.posexplode("segments").alias("seg_pos", "s")).select("work_id", "seg_pos", "s.*")
 
 
+def plain_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, text): whole text files, to be cut into segments by the importer."""
+    return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def records(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -> DataFrame:
     """Match records from JSON-lines files, one after another, nothing dropped; blank lines are skipped."""
     return spark.read.schema(schema).json(paths)
