@@ -197,7 +197,8 @@ def leave_out_grams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def idf_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    _, index = sweeps.index_of(swept(spark, sf))
+    u = swept(spark, sf).units
+    index = grams.idf(grams.leave_out_grams(u, Params()), u.count())
     return index.select(F.array_join("gram", " ").alias("gram"), "df", F.round("idf", 6).alias("idf"))
 
 
@@ -206,6 +207,13 @@ def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
     return sweeps.scored(swept(spark, sf)).select(*PAIR, F.round("score", 6).alias("score"))
 
 
+@query
+def cosine_call(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    call = sweeps.Sweep(s.works, s.units, s.found, s.candidates, Params(idf_scope="call"))
+    return sweeps.scored(call).select(*PAIR, F.round("score", 6).alias("score"))
+
+
 @query
 def auto_threshold(spark: SparkSession, sf: str) -> DataFrame:
     t = grams.auto_threshold(sweeps.scored(swept(spark, sf)), ["work_i", "work_j"])

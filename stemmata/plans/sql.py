@@ -154,6 +154,12 @@ SQL: dict[str, str] = {
     "leave_out_grams": f"WITH {LNO} SELECT work_id, unit_pos, array_to_string(gram, ' ') AS gram, c FROM gr",
     "idf_corpus": f"WITH {LNO} SELECT array_to_string(gram, ' ') AS gram, df, round(idf, 6) AS idf FROM idf",
     "cosine_scores": f"WITH {SCORES} SELECT work_i, work_j, i, j, round(score, 6) AS score FROM sc",
+    "cosine_call": f"""WITH {LNO}, nw AS (SELECT work_id, count(*) AS n FROM un GROUP BY work_id), dw AS (SELECT work_id, gram, count(*) AS df FROM gr GROUP BY ALL),
+us AS (SELECT work_i AS work_id, i AS unit_pos, work_j AS other FROM cand UNION SELECT work_j, j, work_i FROM cand),
+wv AS (SELECT us.work_id, us.unit_pos, us.other, gram, gr.c * (ln(1 + (a.n + b.n) / (1 + o.df + coalesce(x.df, 0))) + 1) AS w FROM us JOIN gr USING (work_id, unit_pos) JOIN dw o USING (work_id, gram) LEFT JOIN (SELECT work_id AS other, gram, df FROM dw) x USING (other, gram) JOIN nw a ON a.work_id = us.work_id JOIN nw b ON b.work_id = us.other),
+ln AS (SELECT work_id, unit_pos, other, sqrt(sum(w * w)) AS norm FROM wv GROUP BY ALL),
+dt AS (SELECT c.work_i, c.work_j, c.i, c.j, sum(a.w * b.w) AS dot FROM cand c JOIN wv a ON a.work_id = c.work_i AND a.unit_pos = c.i AND a.other = c.work_j JOIN wv b ON b.work_id = c.work_j AND b.unit_pos = c.j AND b.other = c.work_i AND b.gram = a.gram GROUP BY ALL)
+SELECT c.work_i, c.work_j, c.i, c.j, round(coalesce(dot / nullif(a.norm * b.norm, 0), 0), 6) AS score FROM cand c LEFT JOIN dt USING (work_i, work_j, i, j) LEFT JOIN ln a ON a.work_id = c.work_i AND a.unit_pos = c.i AND a.other = c.work_j LEFT JOIN ln b ON b.work_id = c.work_j AND b.unit_pos = c.j AND b.other = c.work_i""",
     "auto_threshold": f"WITH {SCORES} SELECT work_i, work_j, count(*) AS n, round(avg(score), 6) AS mean, round(CASE WHEN count(*) < 2 THEN 0 ELSE avg(score) + 1.2 * stddev_pop(score) END, 6) AS threshold FROM sc GROUP BY work_i, work_j",
     "match_cells": f"WITH {CELLS} SELECT work_i, work_j, i, j, count(*) AS cells, count(DISTINCT d) AS diagonals FROM cell GROUP BY ALL",
     "diagonal_runs": f"WITH {CELLS} SELECT work_i, work_j, i, j, max(length) AS longest, count(*) AS runs FROM runs GROUP BY ALL",

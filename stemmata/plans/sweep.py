@@ -44,16 +44,20 @@ def prepare(segments: DataFrame, works: DataFrame, params: Params | None = None,
 
 
 def index_of(sweep: Sweep) -> tuple[DataFrame, DataFrame]:
-    """(grams of every unit, idf table over the whole corpus)."""
-    counted = grams.leave_out_grams(sweep.units, sweep.params)
+    """(gram keys of every unit, idf table over the whole corpus)."""
+    counted = grams.gram_keys(sweep.units, sweep.params)
     n = sweep.units.count()
-    return counted, grams.idf(counted, n)
+    return counted, grams.idf(counted, n, ["ka", "kb"])
 
 
 def scored(sweep: Sweep, index: DataFrame | None = None) -> DataFrame:
     """Candidates with their cosine, and the gate if the parameters set one."""
     counted, own = index_of(sweep)
-    out = grams.cosines(sweep.candidates, grams.weights(counted, index if index is not None else own))
+    if sweep.params.idf_scope == "call" and index is None:
+        vectors = grams.call_vectors(sweep.candidates, counted, sweep.units)
+    else:
+        vectors = grams.vectors(counted, index if index is not None else own)
+    out = grams.cosines(sweep.candidates, vectors)
     return out if sweep.params.similarity is None else out.filter(F.col("score") >= sweep.params.similarity)
 
 
