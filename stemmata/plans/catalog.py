@@ -326,18 +326,24 @@ def _focus(rows: DataFrame) -> str:
     return top[0]["w"] if top else ""
 
 
+def _with_era(rows: DataFrame, era: str) -> DataFrame:
+    return rows.filter((F.col("era_i") == era) | (F.col("era_j") == era))
+
+
 @query
 def topos_partner(spark: SparkSession, sf: str) -> DataFrame:
     rows = found_records(spark, sf)
     focus = _focus(rows)
-    return topos.partner_breakdown(topos.tag_single(rows, rows.filter((F.col("era_i") == "ancient_classical") | (F.col("era_j") == "ancient_classical")), focus), focus)
+    return topos.partner_breakdown(topos.tag_single(rows, _with_era(rows, "ancient_classical"), focus), focus)
 
 
 @query
 def control_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records against two controls: those with an ancient side, and those with a side of the ninth or tenth century."""
     rows = found_records(spark, sf)
     focus = _focus(rows)
-    return topos.compare_controls(topos.tag_single(rows, rows, focus, coords="local"), topos.tag_single(rows, rows, focus, coords="absolute"), focus)
+    one, two = (topos.tag_single(rows, _with_era(rows, era), focus) for era in ("ancient_classical", "9th_10th"))
+    return topos.compare_controls(one, two, focus)
 
 
 # packages and numbers -------------------------------------------------------------------------

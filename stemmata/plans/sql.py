@@ -110,6 +110,11 @@ sd AS (SELECT match_id, 'work_i' AS side, work_i AS work_id, {_page('i')} AS pag
 ht AS (SELECT match_id, min(side) AS tag_origin FROM sd JOIN co USING (work_id, page) WHERE {_over('sd', 'co')} GROUP BY match_id),
 tg AS (SELECT rec.*, CASE WHEN tag_origin IS NULL THEN '' ELSE 'ancient_commonplace' END AS tag, coalesce(tag_origin, '') AS tag_origin FROM rec LEFT JOIN ht USING (match_id))"""
 
+_hit = lambda name, era: f"{name} AS (SELECT DISTINCT own.match_id FROM own JOIN (SELECT DISTINCT page, a AS lo, b AS hi FROM own WHERE era_i = '{era}' OR era_j = '{era}') co USING (page) WHERE {_over('own', 'co')})"
+FOCUS = f"""{RECORDS}, fo AS (SELECT w FROM (SELECT unnest([work_i, work_j]) AS w FROM rec) GROUP BY w ORDER BY count(*) DESC, w LIMIT 1),
+own AS (SELECT match_id, CASE WHEN work_i = w THEN work_j ELSE work_i END AS partner, CASE WHEN work_i = w THEN {_page('i')} ELSE {_page('j')} END AS page, CASE WHEN work_i = w THEN lo_i ELSE lo_j END AS a, CASE WHEN work_i = w THEN hi_i ELSE hi_j END AS b, era_i, era_j FROM rec, fo WHERE work_i = w OR work_j = w),
+{_hit('hit_a', 'ancient_classical')}, {_hit('hit_b', '9th_10th')}"""
+
 _era = lambda s: f"coalesce(nullif(lower(trim(era_{s})), ''), 'unknown') AS era_{s}"
 M = f"m AS (SELECT * REPLACE ({_era('i')}, {_era('j')}, trim(ref_i) AS ref_i, trim(ref_j) AS ref_j, CASE WHEN isnan(score) THEN NULL ELSE score END AS score) FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY loaded_at DESC NULLS LAST, match_id DESC) AS rn FROM wp2_canon_clean) WHERE rn = 1)"
 CROSS = "(author_i IS NULL OR author_j IS NULL OR author_i <> author_j)"
@@ -180,6 +185,12 @@ length(printf('%s | %s %s ↔ %s %s | chain %d, score %.4f | %s ↔ %s', match_i
     "distinct_passages": f"WITH {PLACED}, c AS (SELECT count(*) AS size FROM cs GROUP BY work_i, unit_i, work_j, unit_j, cluster) SELECT coalesce(sum(size), 0)::BIGINT AS records, count(*) FILTER (WHERE size > 1) AS clusters, coalesce(sum(size - 1), 0)::BIGINT AS redundant, (coalesce(sum(size), 0) - coalesce(sum(size - 1), 0))::BIGINT AS passages FROM c",
     "topos_tag_global": f"WITH {TAGGED} SELECT match_id, work_i, work_j, tag, tag_origin FROM tg",
     "topos_per_work": f"WITH {TAGGED}, e AS (SELECT unnest([work_i, work_j]) AS work_id, tag FROM tg) SELECT work_id, count(*) AS total, count(*) FILTER (WHERE tag <> '') AS tagged, count(*) FILTER (WHERE tag = '') AS clean FROM e GROUP BY work_id",
+    "topos_partner": f"WITH {FOCUS} SELECT partner, count(*) AS total, count(h.match_id) AS tagged, count(*) - count(h.match_id) AS clean, 100.0 * count(h.match_id) / count(*) AS tagged_pct FROM own LEFT JOIN hit_a h ON h.match_id = own.match_id GROUP BY partner",
+    "control_compare": f"WITH {FOCUS}, p AS (SELECT partner, 100.0 * count(a.match_id) / count(*) AS pct_a, 100.0 * count(b.match_id) / count(*) AS pct_b FROM own LEFT JOIN hit_a a ON a.match_id = own.match_id LEFT JOIN hit_b b ON b.match_id = own.match_id GROUP BY partner) SELECT partner, pct_a, pct_b, 100.0 - pct_a AS independence_a, 100.0 - pct_b AS independence_b FROM p",
+    "passage_neighbours": f"""WITH {PLACED}, sz AS (SELECT work_i, unit_i, work_j, unit_j, cluster, count(*) AS size, min(lo_i) AS i_lo, max(hi_i) AS i_hi, any_value(match_id) AS match_id, any_value(chain_len) AS chain_len FROM cs GROUP BY 1, 2, 3, 4, 5),
+nb AS (SELECT c.work_i, c.unit_i, c.work_j, c.unit_j, c.cluster, l.match_id, l.chain_len, greatest(0, greatest(l.i_lo - c.i_hi, c.i_lo - l.i_hi) - 1) AS between FROM sz c JOIN sz l USING (work_i, unit_i, work_j, unit_j) WHERE c.size > 1 AND l.size = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY work_i, unit_i, work_j, unit_j, cluster ORDER BY between, chain_len DESC, match_id) AS rank FROM nb)
+SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, match_id, between, rank FROM rk WHERE rank <= 6""",
     "wp1": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('7th_8th')} AND chain_len >= 6",
     "wp2": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('9th_10th')} AND chain_len >= 6 AND score >= 0.001",
     "wp3": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('11th_12th')} AND chain_len >= 8 AND score >= 0.01",
