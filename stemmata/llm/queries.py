@@ -152,6 +152,10 @@ _SEGMENTS = _current("plato_respublica_598", "work_id, seg_pos", "row_id", "*")
 _RECORDS = _current("wp2_canon_clean", "rel_id", "match_id", "*")
 _UNIT_OF = "trim(split_part({}, '#', 1))"
 
+# NFKD as far as SQL has it: marks stripped, final sigma of words in capitals, raised letters
+_LOW = "translate(lower(x), 'ᵛʳ', 'vr')"
+_TOKENS = rf"list_transform(regexp_extract_all(strip_accents(text), '[\p{{L}}\p{{N}}_]+'), lambda x: CASE WHEN regexp_matches(x, '\p{{L}}Σ$') THEN regexp_replace({_LOW}, 'σ$', 'ς') ELSE {_LOW} END)"
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
 WITH p AS (SELECT work_id, chapter, coalesce(page, '') AS page, text FROM {_SEGMENTS} WHERE regexp_matches(text, '[^\s\x0b]')),
@@ -168,6 +172,10 @@ WITH s AS (SELECT match_id, unnest([snippet_i, snippet_j]) AS t FROM {_RECORDS})
 w AS (SELECT match_id, regexp_split_to_array(trim(t, chr(32) || chr(9) || chr(10) || chr(13)), '\s+') AS w FROM s WHERE t IS NOT NULL),
 g AS (SELECT DISTINCT match_id, unnest(list_transform(range(1, len(w) - 10), lambda x: array_to_string(w[x:x + 11], ' '))) AS g FROM w WHERE len(w) >= 12)
 SELECT DISTINCT a.match_id AS match_id_a, b.match_id AS match_id_b FROM g a JOIN g b ON a.g = b.g AND a.match_id < b.match_id""",
+    "p4_found": rf"""
+WITH t AS (SELECT work_id, seg_pos, unnest({_TOKENS}) AS term FROM {_SEGMENTS} WHERE text IS NOT NULL),
+f AS (SELECT work_id, seg_pos, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM f)
+SELECT work_id, seg_pos, term FROM d WHERE tf >= 3 AND df BETWEEN 2 AND 6 AND length(term) >= 5 AND regexp_full_match(term, '\p{{L}}+')""",
     "p5_found": f"""
 WITH RECURSIVE l AS (SELECT DISTINCT work_i || ' ' || {_UNIT_OF.format("ref_i")} AS a, work_j || ' ' || {_UNIT_OF.format("ref_j")} AS b FROM {_RECORDS} WHERE {_UNIT_OF.format("ref_i")} <> '' AND {_UNIT_OF.format("ref_j")} <> ''),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
@@ -175,6 +183,18 @@ w AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, w.g FROM w JOIN e ON e.a =
 m AS (SELECT v, min(g) AS group_id FROM w GROUP BY v),
 big AS (SELECT group_id FROM m GROUP BY group_id HAVING count(*) >= 3)
 SELECT split_part(v, ' ', 1) AS work_id, substr(v, strpos(v, ' ') + 1) AS unit, group_id FROM m WHERE group_id IN (SELECT group_id FROM big)""",
+    "p10_found": rf"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM t WHERE len(w) >= 8)),
+r AS (SELECT doc_id, n, p, min(p) OVER (PARTITION BY doc_id, g) AS f FROM g),
+h AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + 8)) AS q FROM r WHERE p > f)
+SELECT doc_id FROM h GROUP BY doc_id, n HAVING 4 * count(*) >= n""",
+    "p10_repetition": rf"""
+WITH t AS (SELECT doc_id, coalesce({_TOKENS}, []) AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM t WHERE len(w) >= 8)),
+r AS (SELECT doc_id, p, min(p) OVER (PARTITION BY doc_id, g) AS f FROM g),
+h AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 8)) AS q FROM r WHERE p > f) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, coalesce(c, 0) AS n_repeated, coalesce(c, 0) / greatest(len(w), 1)::DOUBLE AS repeat_share FROM t LEFT JOIN h USING (doc_id)""",
     "p6_found": f"""
 WITH r AS (SELECT match_id, score, unnest(list_distinct([work_i, work_j])) AS work_id FROM {_RECORDS} WHERE score IS NOT NULL AND NOT isnan(score)),
 n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY work_id) AS n FROM r),
