@@ -5,8 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 
 from stemmata.functions.text import tokens
 from stemmata.llm import cutoff, groups, repeats, spans, split, terms, topn
