@@ -120,6 +120,29 @@ def test_shared_spans(spark):
     assert shared == want
 
 
+def brute_partners(rows, k):
+    texts = {key: {tuple(t.split()) for t in own if t is not None and len(t.split()) >= k} for key, *own in rows}
+    grams = {c: {c[i : i + k] for i in range(len(c) - k + 1)} for own in texts.values() for c in own}
+    return {key: len({c for other, cs in texts.items() if other != key for c in cs if any(grams[c] & grams[m] for m in own)}) for key, own in texts.items()}
+
+
+def test_partners_are_united(spark):
+    rng = random.Random(3)
+    base = [str(rng.randint(0, 40)) for _ in range(300)]
+    piece = lambda a, n: " ".join(base[a : a + n])
+    # two classes at two places, one passage in two extents, own other text, one class at two places of a text, copies
+    rows = [(0, piece(0, 35), None), (1, piece(0, 15), None), (2, piece(20, 15), "x"), (3, piece(50, 30), None), (4, piece(50, 15), None), (5, piece(50, 14), None), (6, piece(100, 20), piece(105, 20)), (7, piece(150, 9), f"{piece(150, 8)} y {piece(150, 8)}"), (8, piece(150, 8), None)]
+    rows += [(9 + i, piece(200, 20), piece(210, 20 + i % 2)) for i in range(4)] + [(13, piece(200, 20), piece(200, 20)), (14, piece(215, 9), piece(0, 15))]
+    for key in range(20, 70):
+        rows.append((key, piece(rng.randint(0, 280), rng.randint(1, 25)), rng.choice([None, "", piece(rng.randint(0, 280), 15)])))
+    df = spark.createDataFrame(rows, "match_id long, snippet_i string, snippet_j string")
+    for part in (rows[:15], rows):
+        want = brute_partners(part, 5)
+        got = {r["match_id"]: r["partners"] for r in spans.shared_part(df.filter(df.match_id <= part[-1][0]), "match_id", ["snippet_i", "snippet_j"], [], 5).collect()}
+        assert got == want
+    assert spans.shared_part(df.limit(0), "match_id", ["snippet_i", "snippet_j"], [], 5).count() == 0
+
+
 def brute_chain(found, cost):
     best = {}
     for i in sorted(range(len(found)), key=lambda i: found[i][0]):
