@@ -64,6 +64,12 @@ def p3_passages(spark: SparkSession, sf: str) -> DataFrame:
     return spans.fuzzy_passages(rows, "match_id")
 
 
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The records behind the classes of p3_passages."""
+    rows = spans.sides(records(spark, sf, ["snippet_i", "snippet_j"]), "match_id", ["snippet_i", "snippet_j"])
+    return spans.class_members(rows, "match_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     scored = terms.tf_idf(segments(spark, sf, ["text"]), SEGMENT)
     return terms.shared_rare(scored, SEGMENT)
@@ -140,7 +146,7 @@ def p10_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p3_found, p3_shared, p3_passages, p4_found, p4_scores, p5_found, p5_groups, p6_found, p6_cutoffs, p7_found, p7_repaired, p8_ids, p9_packing, p10_found, p10_repetition, p10_divergence)
+    for f in (p1_found, p1_pieces, p2_found, p3_found, p3_shared, p3_passages, p3_members, p4_found, p4_scores, p5_found, p5_groups, p6_found, p6_cutoffs, p7_found, p7_repaired, p8_ids, p9_packing, p10_found, p10_repetition, p10_divergence)
 }
 
 

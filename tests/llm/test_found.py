@@ -169,6 +169,42 @@ def test_fuzzy_passage(spark):
     assert len(r) == 1 and r[0]["exact"] == 26 and r[0]["matched"] == 26 and r[0]["passage_a"] == 27
 
 
+def test_passages_with_members_name_all_pairs(spark):
+    rng = random.Random(11)
+    base = [str(rng.randint(0, 40)) for _ in range(300)]
+    piece = lambda a, n: " ".join(base[a : a + n])
+    # copies only; one record that has the least key of both classes; spans in crossed order; a text under k words twice
+    rows = [(0, piece(0, 9), None), (1, piece(0, 9), None), (2, piece(20, 9), piece(22, 9)), (3, piece(20, 9), None), (4, f"{piece(50, 8)} y {piece(60, 6)}", None), (5, f"{piece(60, 6)} z {piece(50, 8)}", None), (6, "a b", "a b"), (7, "a b", None)]
+    for key in range(20, 60):
+        rows.append((key, piece(rng.randint(100, 280), rng.randint(1, 25)), rng.choice([None, "", piece(rng.randint(100, 280), 15)])))
+    df = spark.createDataFrame(rows, "match_id long, snippet_i string, snippet_j string")
+    texts = spans.sides(df, "match_id", ["snippet_i", "snippet_j"])
+    owners = defaultdict(set)
+    for r in spans.class_members(texts, "match_id", 5).collect():
+        owners[r["c1"], r["c2"]].add(r["match_id"])
+    found = spans.fuzzy_passages(texts, "match_id", 5).collect()
+    linked = {(min(x, y), max(x, y)) for r in found for x in owners[r["a1"], r["a2"]] for y in owners[r["b1"], r["b2"]] if x != y}
+    assert sorted(linked) == brute_pairs(rows, 5)
+    for r in found:
+        mine, others = owners[r["a1"], r["a2"]], owners[r["b1"], r["b2"]]
+        assert r["match_id_a"] in mine and r["match_id_b"] in others and (r["match_id_a"] != r["match_id_b"] or len(mine | others) == 1)
+    crossed = sorted((r["chain"], r["exact"], r["matched"]) for r in found if {r["match_id_a"], r["match_id_b"]} == {4, 5})
+    assert crossed == [(0, 8, 8), (1, 6, 6)]
+    assert [(r["score"], r["exact"], r["matched"], r["passage_a"]) for r in found if {r["match_id_a"], r["match_id_b"]} == {0, 1}] == [(9.0, 9, 9, 9)]
+
+
+def test_chains_use_every_span():
+    rng = random.Random(5)
+    for _ in range(50):
+        found = sorted({(rng.randint(0, 60), rng.randint(0, 60), rng.randint(3, 9)) for _ in range(rng.randint(1, 12))})
+        _, path = spans.chain(found)
+        used = [found[i] for i in path]
+        for score, more in spans.further_chains(found, used):
+            assert math.isclose(score, brute_chain(sorted(set(found).difference(used)), spans.GAP_COST), abs_tol=1e-9)
+            used += more
+        assert sorted(used) == found
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
