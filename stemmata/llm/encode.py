@@ -16,6 +16,7 @@ starts, so a cut that meets these conditions gives exactly the ids of the uncut
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemmata.scratch import Scratch
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the splitting pattern that belongs to the vocabulary (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,6 +36,7 @@ FRAGMENT = 512
 #: texts over this many characters are spread over tasks, in spans of about SPAN characters
 LONG = 1 << 20
 SPAN = 1 << 18
+_ROW, _SPAN, _IDS = "__row", "__span", "__ids"
 
 
 class Codec:
@@ -109,36 +113,40 @@ def _encoded(df: DataFrame, raw: Broadcast[bytes], text: str, out: str, keep: li
 
 
 def _spans(df: DataFrame, raw: Broadcast[bytes], key: str, text: str, span: int) -> DataFrame:
-    """Long texts cut at certain places into spans: key, span number, text of the span."""
+    """Long texts cut at certain places into spans: key, a number of the row drawn at random, span number, text of the span.
+
+    The row's number, not its key, holds the spans together, so keys may repeat or be null. It must be written before it is used: a task that runs again draws anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value)
         for batch in batches:
             for k, value in zip(batch.column(key), batch.column(text)):
+                row = uuid.uuid4().hex
                 for no, piece in enumerate(codec.fragments(value.as_py(), span)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.column(key).type), pa.array([no], pa.int32()), pa.array([piece])], [key, "__span", text])
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.column(key).type), pa.array([row]), pa.array([no], pa.int32()), pa.array([piece])], [key, _ROW, _SPAN, text])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kinds[key]}, __span int, `{text}` string")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kinds[key]}, {_ROW} string, {_SPAN} int, `{text}` string")
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "ids", *, vocabulary: str = VOCABULARY, fragment: int = FRAGMENT, long: int = LONG, span: int = SPAN, count: bool = False) -> DataFrame:
     """(``key``, ``out``): the token ids of every text, or their number with ``count``.
 
     No special tokens: strings that look like one are plain text. Null and empty texts give an empty list
-    (count 0). Every row gives one row, repeated rows too, except that texts over ``long`` characters are put together again by
-    key, so their key must be unique. An unpaired surrogate cannot occur in a Spark string. Other columns are ignored; an
-    empty table gives an empty table.
+    (count 0). Every row gives one row, at any length; repeated rows and repeated or null keys too. An unpaired
+    surrogate cannot occur in a Spark string. Other columns are ignored; an empty table gives an empty table.
 
     Texts up to ``long`` characters are encoded where they lie, without a shuffle. Longer ones are cut into
-    spans that any task may take, so one giant text does not hold up a task.
+    spans, which are written so that any task may take them and one giant text does not hold up a task; the rows are the same either way.
     """
     raw = _vocabulary(df, vocabulary)
     size = F.coalesce(F.char_length(text), F.lit(0))
     short = _encoded(df.filter(size <= long), raw, text, out, [key], fragment, count)
-    pieces = _spans(df.filter(size > long), raw, key, text, span).repartition(F.col(key), F.col("__span"))
-    parts = _encoded(pieces, raw, text, "__ids", [key, "__span"], fragment, count).groupBy(key)
+    written = Scratch(df.sparkSession, "spans").put(_spans(df.filter(size > long), raw, key, text, span))
+    parts = _encoded(written.repartition(F.col(_ROW), F.col(_SPAN)), raw, text, _IDS, [key, _ROW, _SPAN], fragment, count).groupBy(_ROW)
     if count:
-        return short.unionByName(parts.agg(F.sum("__ids").alias(out)))
-    ordered = F.array_sort(F.collect_list(F.struct("__span", "__ids")))
-    return short.unionByName(parts.agg(F.flatten(F.transform(ordered, lambda x: x["__ids"])).alias(out)))
+        whole = F.sum(_IDS)
+    else:
+        whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(_SPAN, _IDS))), lambda x: x[_IDS]))  # the ids of one text
+    return short.unionByName(parts.agg(F.first(key).alias(key), whole.alias(out)).select(key, out))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 8192
+#: parts in which the items of one size are numbered
+SALTS = 1024
 
 
 @dataclass
@@ -127,7 +129,7 @@ def slots(patterns: list[Pattern]) -> pd.DataFrame:
     return table.sort_values(["size", "first"], ignore_index=True)
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", *, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
     """(key, piece, container, position, start, size): a place for every item, or for every piece of an item over the capacity.
 
     ``sizes`` must be cheap to read twice (a written table). An item over the capacity is cut into full pieces,
@@ -147,8 +149,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", *, capacity:
     last = F.when((rest > 0) | (n == 0), F.array(F.struct(whole.alias("piece"), rest.alias("size")))).otherwise(F.expr("array()").cast("array<struct<piece:bigint,size:bigint>>"))
     items = sizes.select(F.col(key), F.explode(F.concat(full, last)).alias("item")).select(key, "item.piece", "item.size")
 
-    parts = salts or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    items = items.withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    items = items.withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     by_part = items.groupBy("size", "part").agg(F.count("*").alias("n"))
     counted = by_part.groupBy("size").agg(F.sum("n").alias("n")).collect()  # bounded: a row for each size up to the capacity
     counts = np.zeros(capacity + 1, dtype=np.int64)

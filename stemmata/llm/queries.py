@@ -201,12 +201,6 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 w AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, w.g FROM w JOIN e ON e.a = w.v),
 m AS (SELECT v, min(g) AS group_id FROM w GROUP BY v)
 SELECT split_part(v, ' ', 1) AS work_id, substr(v, strpos(v, ' ') + 1) AS unit, group_id FROM m""",
-    "p10_found": rf"""
-WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM t WHERE len(w) >= 8)),
-r AS (SELECT doc_id, n, p, min(p) OVER (PARTITION BY doc_id, g) AS f FROM g),
-h AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + 8)) AS q FROM r WHERE p > f)
-SELECT doc_id FROM h GROUP BY doc_id, n HAVING 4 * count(*) >= n""",
     "p10_repetition": rf"""
 WITH t AS (SELECT doc_id, coalesce({_TOKENS}, []) AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM t WHERE len(w) >= 8)),

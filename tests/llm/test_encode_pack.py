@@ -44,6 +44,15 @@ def test_encode_rows(spark, codec):
     assert encode.encode(df.limit(0)).count() == 0
 
 
+def test_repeated_keys_give_the_same_rows_at_any_length(spark, codec):
+    texts = ["λόγος " * 200, "νόμος " * 250, "λόγος " * 200, None, "", "short"]
+    df = spark.createDataFrame([(k, t) for k, t in zip((7, 7, 7, 7, None, None), texts)] + [(None, "λόγος " * 300)], "doc_id long, text string")
+    want = sorted((r["doc_id"] or 0, codec.encoding.encode_ordinary(r["text"] or "")) for r in df.collect())
+    for long in (300, 1 << 20):
+        assert sorted((r["doc_id"] or 0, r["ids"]) for r in encode.encode(df, long=long, span=100).collect()) == want
+        assert sorted((r["doc_id"] or 0, r["n"]) for r in encode.encode(df, out="n", count=True, long=long, span=100).collect()) == sorted((k, len(v)) for k, v in want)
+
+
 def containers_are_right(rows, items, capacity):
     by = {}
     for r in rows:
