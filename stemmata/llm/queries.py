@@ -113,12 +113,11 @@ def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.noise(scans.weigh(*_scanned(spark, sf))).select("src", "row_id", "noise")
+    return scans.noise(scans.weigh(*_scanned(spark, sf), places=False)).select("src", "row_id", "noise")
 
 
 def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    rows, extra = _scanned(spark, sf)
-    return scans.repair(rows, scans.weigh(rows, extra))
+    return scans.repair(scans.weigh(*_scanned(spark, sf)))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

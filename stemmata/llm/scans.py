@@ -3,14 +3,18 @@
 Four kinds: 'hyphen' (a word divided by the end of a printed line), 'glyph' (misread characters), 'header' (a running
 header in the text), 'pageno' (a page or folio number by itself).
 
-1. Every word form is counted over all texts, words that touch a division or hold an impossible character left out.
-2. Forms are grouped by a skeleton in which glyphs that are taken for each other are one sign. A rare form beside a
-   far more frequent one of the same skeleton is a misreading; the frequent form is the reading, where the neighbouring
-   words support it if the counts alone are not decisive.
-3. Two neighbouring words whose joined form is far more frequent than the rarer of them are one divided word.
-4. Headers are the work's running title with its digits masked: page numbers around it and digits misread inside it.
+1. Running headers: lines of a work that are equal once their digits are masked, but stand there with different numbers. Their
+   words, and the running titles that are given for a work, are then looked for anywhere in its texts, with digits misread inside them.
    Numbers outside headers, brackets, ranges and chapter marks are page numbers.
+2. Every text is examined once; what it shows by itself and its words are written (``examined``). Every word form is counted over all
+   texts, words that touch a division or hold an impossible character left out.
+3. Forms are grouped by a skeleton in which glyphs that are taken for each other are one sign. A form beside a far more frequent one of
+   the same skeleton is a misreading; where the counts alone are not decisive the neighbouring words must support the reading.
+4. Two neighbouring words whose joined form is far more frequent than the rarer of them are one divided word.
 5. Lines are joined to paragraphs by SQL windows over the lines of a text.
+
+All thresholds are ratios of counts, so they hold at any size of the corpus. Which forms are common only prunes what need not be looked up
+(see ``suspects``) and changes no result.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stemmata.functions.text import MARKS
+from stemmata.functions.text import MARKS, normalise_col
 from stemmata.scratch import Scratch
 
 #: signs that divide a word at a line's end (fixed values): hyphen, soft hyphen, oblique double hyphen, hyphen, not sign
@@ -38,16 +44,22 @@ STRAY = r"_'*|^\\~@!"
 CONFUSED = ("οσ0o", "υνηuvn", "κχkx", "λδθ", "ιi1!|", "ecε", "tl", "αa", "ρp", "τr", "γy", "ωw", "b6", "g9")
 #: letter pairs taken for one letter (fixed values)
 MERGED = (("ει", "α"), ("rn", "m"), ("in", "m"))
-#: how many times more frequent the reading must be than a form seen once or twice, or than a part of a divided word
+#: how many times more frequent the joined form of a divided word must be than the rarer of its parts
 RATIO = 8
-#: how many times where the form is seen more often: misreadings of one word scatter, another word of the same skeleton does not
+#: how many times more frequent a reading must be than the form if nothing else speaks for it: misreadings of one word scatter, another word of the same skeleton does not
 SYSTEMATIC = 60
 #: and how many times where a neighbouring word supports the reading
 SUPPORTED = 3
+#: how many times more often the reading must stand beside that word than chance would put it there
+LIFT = 100
+#: the fewest letters of a form that context may decide, and of one that counts alone may decide: a single letter has no skeleton that tells words apart
+CONTEXT_LETTERS, LEAST_LETTERS = 4, 2
 #: occurrences that make a form known
 KNOWN = 4
 #: a form with more than one HEAVY-th of all words is common; there are at most HEAVY of them, so they may be broadcast
 HEAVY = 100_000
+#: a running header is a line of so many characters at most
+HEADER_LINE = 90
 
 _LETTER = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTER}(?:{_LETTER}|[̀-ͯ])*")
@@ -69,6 +81,7 @@ _BEFORE_CHAPTER = re.compile(r"(?:\b(?:κεφ|cap|cod|codd|lib|στ|vv?|ll?|ch|c
 _PAGE = re.compile(r"(?<![\w.])(?:fol|ff?|pp?|pag|S)\.\s*\d{1,4}[rvʳᵛ]?(?!\w)|(?<!\S)([—–\-~.])\s\d{1,4}\s\1(?!\S)|(?<!\w)\d{1,4}[ʳᵛ]")
 _DIGIT = re.compile(r"\d")
 _ROMAN = re.compile(r"(?<![\w.])(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})(?![\w.])")
+_LINES_JVM = r"\r\n|[\n\r\u000b\u000c\u0085\u2028\u2029]"
 _LINES = re.compile(r"\r\n|[\n\r\u000b\u000c\u0085  ]")
 
 _SIGN = {c: row[0] for row in CONFUSED for c in row[1:]}
@@ -116,17 +129,47 @@ _LEFT = re.compile(r"(?<!\w)(?:(?P<number>\d{1,4})[ \t]+)?(?:[A-Z\d]{3,}(?:[ \t]
 _RIGHT = re.compile(r"[ \t]+(\d{1,4})(?![\w\-]|\s*[)\]])")
 
 
-def title_pattern(title: str) -> re.Pattern[str]:
-    """The running title in capitals or small letters, letters spaced or not, 0 and 1 for O and I."""
+def _title_key(title: str) -> str:
+    """A title without spaces, case and marks, misread digits as letters."""
+    return form("".join(title.split())).translate(str.maketrans("o0i1", "οοιι"))
+
+
+def title_pattern(*titles: str) -> re.Pattern[str]:
+    """Running titles in capitals or small letters, letters spaced or not, 0 and 1 for O and I."""
+    own: dict[str, str] = {}
+    for title in sorted(titles, key=lambda t: (len(t.split()), t)):  # of a title spaced in several ways the one with the fewest gaps
+        own.setdefault(_title_key(title), title)
     both = []
-    for case in (str.upper, str.lower):
-        words = []
-        for w in MARKS.sub("", unicodedata.normalize("NFKD", case(title))).split():
-            words.append(r"\s?".join("[" + {"Ο": "ΟO0", "O": "O0", "Ι": "ΙI1", "I": "I1l", "ο": "οo0", "o": "o0", "ι": "ιi1", "i": "i1"}.get(c, re.escape(c)) + "]" for c in w))
-        both.append(r"\s+".join(words))
+    for title in sorted(own.values(), key=lambda t: (-len(t), t)):
+        for case in (str.upper, str.lower):
+            words = []
+            for w in MARKS.sub("", unicodedata.normalize("NFKD", case(title))).split():
+                words.append(r"\s?".join("[" + {"Ο": "ΟO0", "O": "O0", "Ι": "ΙI1", "I": "I1l", "ο": "οo0", "o": "o0", "ι": "ιi1", "i": "i1", "σ": "σς", "ς": "σς"}.get(c, re.escape(c)) + "]" for c in w))
+            both.append(r"\s+".join(words))
     return re.compile(rf"(?<!\w)(?:{'|'.join(both)})(?!\w)")
 
 
+def masked_titles(texts: DataFrame) -> DataFrame:
+    """(work_id, title): titles of running headers, learned from (work_id, text).
+
+    A line that begins or ends with a number is masked: normalised, its digits dropped (0 and 1 inside a word are letters), an author before the title too. A masked line with
+    three letters or more that stands in its work with at least two numbers is a header; marks of pages and chapters by themselves are none. Lines are counted map-side
+    first, so a work that holds most rows is a few rows when it is shuffled. Null texts, null works and texts without numbers give nothing.
+    """
+    lines = texts.filter(F.col("work_id").isNotNull() & F.col("text").rlike(r"\d")).select("work_id", F.explode(F.split("text", _LINES_JVM)).alias("line"))
+    line = F.trim(F.regexp_replace("line", r"\s+", " "))
+    edge = lines.select("work_id", line.alias("line")).filter((F.char_length("line") <= HEADER_LINE) & F.col("line").rlike(r"^\d{1,4} |[^\d] \d{1,4}$") & F.col("line").rlike(r"\p{L}\P{L}*\p{L}\P{L}*\p{L}"))
+    number = F.regexp_extract("line", r"^(\d{1,4}) |[^\d] (\d{1,4})$", 0)
+    pre = edge.groupBy("work_id", "line").agg(F.max(number).alias("number"))
+    low = normalise_col(F.col("line"))
+    letters = F.regexp_replace(F.regexp_replace(low, r"(?<=\p{L})[0](?=\p{L}|\b)|\b0(?=\p{L})", "ο"), r"(?<=\p{L})1(?=\p{L}|\b)|\b1(?=\p{L})", "ι")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(letters, r"^\d{1,4} | \d{1,4}$", ""), r"^[\p{L} ]{3,}\. +", ""))
+    named = pre.select("work_id", "number", bare.alias("title")).filter(~F.col("title").rlike(r"\d|^\P{L}*(?:fol|ff?|pp?|pag|s|κεφ|cap|codd?|lib|στ|vv?|ll?|ch|c)\.|[.;·!?:]") & F.col("title").rlike(r"\p{L}\P{L}*\p{L}\P{L}*\p{L}"))
+    key = F.translate(F.regexp_replace("title", r"\P{L}", ""), "oi", "οι")
+    found = named.groupBy("work_id", key.alias("key")).agg(F.min("number").alias("low"), F.max("number").alias("high"), F.min_by("title", F.struct(F.size(F.split("title", " ")), "title")).alias("title"))
+    return found.filter("low <> high").select("work_id", "title")
+
+
 def headers(text: str, title: re.Pattern[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Running headers with author and page number; and, where a number stands on either side, the one that is the page's own."""
     found, pages = [], []
@@ -278,87 +321,125 @@ def _after_divider(text: str, at: int) -> bool:
     return k > 0 and text[k] in DIVIDERS and text[k - 1].isalpha()
 
 
-def _titles(works: DataFrame) -> DataFrame:
-    return works.filter(F.trim("running_title") != "").groupBy(F.col("work_id").alias("__work")).agg(F.min("running_title").alias("__title"))
+def scanned(texts: DataFrame, works: DataFrame) -> DataFrame:
+    """(src, row_id, text, titles): texts with their work's running titles, learned from masked lines and given in ``works``; null texts are dropped, a work without a title gives null."""
+    given = works.filter((F.trim("running_title") != "") & F.col("work_id").isNotNull()).select("work_id", F.col("running_title").alias("title"))
+    learned = Scratch(texts.sparkSession, "titles").put(masked_titles(texts.select("work_id", "text")))
+    # bounded by the different headers of one work
+    titles = given.unionByName(learned).groupBy(F.col("work_id").alias("__work")).agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    return texts.filter(F.col("text").isNotNull()).join(titles, F.col("work_id") == F.col("__work"), "left").select("src", "row_id", "text", "titles")
 
 
-def scanned(texts: DataFrame, works: DataFrame) -> DataFrame:
-    """(src, row_id, text, title): texts with their work's running title; null texts are dropped, a work without a title gives null."""
-    return texts.filter(F.col("text").isNotNull()).join(_titles(works), F.col("work_id") == F.col("__work"), "left").select("src", "row_id", "text", F.col("__title").alias("title"))
+def divided(between: str) -> bool:
+    """Whether what stands between two words may be a division: white space, or one sign of division."""
+    return between.isspace() or (len(between) == 1 and between in DIVIDERS)
 
 
-def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[Finding]]]:
-    patterns: dict[str, re.Pattern[str]] = {}
-    for b in batches:
-        out = []
-        for text, title in zip(b["text"], b["title"]):
-            if title is not None and title not in patterns:
-                if len(patterns) > 10_000:
-                    patterns.clear()
-                patterns[title] = title_pattern(title)
-            out.append(examine(text, patterns.get(title)))
-        yield b, out
+_SPAN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
 
 
-def count_forms(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """(form, n, surface): how often each word form stands in the texts and in the ``extra`` texts (column text), which are taken as clean, and how it is mostly written.
+def examined(rows: DataFrame, places: bool = True) -> DataFrame:
+    """One row per text of ``scanned``, and pre-counted rows of words by batch; to be written once and read by all that follows.
 
-    Pre-counted by batch, so a frequent word is a few rows when it is shuffled.
+    ``text`` composed, ``kinds`` shown by the text itself, ``cuts`` headers and page numbers, ``broken`` words with impossible characters and ``guesses`` of their forms, ``forms`` of
+    the words that may be counted with their places ``at`` and ``upto`` and whether a division may stand before each (``near``). Without ``places``, which only the repair reads, text, cuts, broken, at and upto stay null. Rows with a null ``forms`` are counts: form, surface, n.
     """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    id_type = to_arrow_type(kinds["row_id"])
+    schema = pa.schema([("src", pa.string()), ("row_id", id_type), ("text", pa.string()), ("kinds", pa.list_(pa.string())), ("cuts", pa.list_(_SPAN)), ("broken", pa.list_(_SPAN)), ("guesses", pa.list_(pa.string())), ("forms", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("upto", pa.list_(pa.int32())), ("near", pa.list_(pa.bool_())), ("form", pa.string()), ("surface", pa.string()), ("n", pa.int64())])
+    spans = "array<struct<a:int,b:int>>"
+    ddl = f"src string, row_id {kinds['row_id'].simpleString()}, text string, kinds array<string>, cuts {spans}, broken {spans}, guesses array<string>, forms array<string>, at array<int>, upto array<int>, near array<boolean>, form string, surface string, n bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: dict[tuple[str, ...], re.Pattern[str]] = {}
+        for batch in batches:
+            out: list[dict[str, object]] = []
+            counted: Counter[str] = Counter()
+            for src, row, text, titles in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "text", "titles"))):
+                known = tuple(titles or ())
+                if known and known not in patterns:
+                    if len(patterns) > 10_000:
+                        patterns.clear()
+                    patterns[known] = title_pattern(*known)
+                f = examine(text, patterns.get(known))
+                words = f.words
+                counted.update([f.text[a:b].lower() for _, a, b in words])
+                pair = lambda xs: [{"a": a, "b": b} for a, b in xs]
+                ends = [-1, *(e for _, _, e in words)]
+                near = [e >= 0 and divided(f.text[e:a]) for e, (_, a, _) in zip(ends, words)]
+                one = {"src": src, "row_id": row, "kinds": sorted(f.kinds), "guesses": sorted({guess(f.text[a:b]) for a, b in f.broken}), "forms": [w for w, _, _ in words], "near": near}
+                if places:
+                    one |= {"text": f.text, "cuts": pair(_joined(f.headers + f.pages)), "broken": pair(f.broken), "at": [a for _, a, _ in words], "upto": ends[1:]}
+                out.append(one)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist([{"form": known_form(w), "surface": w, "n": n} for w, n in counted.items()], schema=schema)
+
+    return rows.select("src", "row_id", "text", "titles").mapInArrow(run, ddl)
+
+
+def count_forms(found: DataFrame, extra: DataFrame) -> DataFrame:
+    """(form, n, surface): how often each word form stands in the examined texts and in the ``extra`` texts (column text), which are taken as clean, and how it is mostly written.
 
-    def table(c: Counter[str]) -> pd.DataFrame:
-        return pd.DataFrame({"form": [known_form(w) for w in c], "surface": list(c), "n": list(c.values())})
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, found in _examined(batches):
-            c: Counter[str] = Counter()
-            for f in found:
-                c.update([f.text[a:b].lower() for _, a, b in f.words])
-            yield table(c)
+    Pre-counted by batch, so a frequent word is a few rows when it is shuffled.
+    """
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter[str] = Counter()
             for t in b["text"]:
                 c.update(_WORD.findall(unicodedata.normalize("NFC", t).lower()))
-            yield table(c)
+            yield pd.DataFrame({"form": [known_form(w) for w in c], "surface": list(c), "n": list(c.values())})
 
-    schema = "form string, surface string, n bigint"
-    others = extra.filter(F.col("text").isNotNull()).select("text").mapInPandas(plain, schema)
-    by_surface = rows.mapInPandas(own, schema).unionByName(others).groupBy("form", "surface").agg(F.sum("n").alias("n"))
+    others = extra.filter(F.col("text").isNotNull()).select("text").mapInPandas(plain, "form string, surface string, n bigint")
+    by_surface = found.filter(F.col("forms").isNull()).select("form", "surface", "n").unionByName(others).groupBy("form", "surface").agg(F.sum("n").alias("n"))
     return by_surface.groupBy("form").agg(F.max_by("surface", F.struct("n", "surface")).alias("surface"), F.sum("n").alias("n"))
 
 
-def suspects(rows: DataFrame, common: Broadcast[frozenset[str]]) -> DataFrame:
-    """(src, row_id, kind, a, b, before): kind is a noise that the text itself shows, or 'broken' for a word with impossible characters, or 'word' for a form that is not common, or 'pair' for two neighbours of which one is not."""
+def suspects(found: DataFrame, shared: Broadcast[tuple[frozenset[str], frozenset[str], frozenset[str]]]) -> DataFrame:
+    """(src, row_id, kind, a, b, c): words and neighbours of a text that the counts may show to be noise, each once a text.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, found in _examined(batches):
-            out = []
-            for src, row, f in zip(b["src"], b["row_id"], found):
-                out += [(src, row, k, None, None, None) for k in sorted(f.kinds)]
-                out += [(src, row, "broken", w, None, None) for w in sorted({guess(f.text[a:b]) for a, b in f.broken})]
-                seen: set[tuple[str, str | None]] = set()
-                last, end = None, -1
-                for w, a, e in f.words:
-                    rare = w not in common.value
-                    if rare and len(w) > 3 and (w, None) not in seen:
-                        seen.add((w, None))
-                        out.append((src, row, "word", w, None, last))
-                    if last is not None and f.text[end:a].isspace() and (rare or last not in common.value) and (last, w) not in seen:
+    ``shared`` holds the common forms; those of them that a still more frequent form of their skeleton may replace; and those that may be the reading of a doubtful form. 'word' is a
+    form a between its neighbours b and c, 'pair' two neighbours a, b between which a division may stand, 'context' two neighbours a, b.
+
+    What is left out cannot count: a common form needs a reading that is more frequent and so common too; if both parts of a divided word are common, the joined form must be
+    more frequent than the rarer and so common too; a context is only asked for the reading of a doubtful form.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, open_, asked = shared.value
+        for batch in batches:
+            out: list[tuple[object, ...]] = []
+            for src, row, forms, near in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "forms", "near"))):
+                seen: set[tuple[str, ...]] = set()
+                n = len(forms)
+                rare = [w not in common for w in forms]
+                for i, w in enumerate(forms):
+                    last = forms[i - 1] if i else None
+                    if (rare[i] or w in open_) and len(w) >= LEAST_LETTERS and (w,) not in seen:
+                        seen.add((w,))
+                        out.append((src, row, "word", w, last, forms[i + 1] if i + 1 < n else None))
+                    if last is None or (last, w) in seen:
+                        continue
+                    some = rare[i] or rare[i - 1]
+                    if near[i] and (some or last + w in common):
                         seen.add((last, w))
                         out.append((src, row, "pair", last, w, None))
-                    last, end = w, e
-            yield pd.DataFrame(out, columns=["src", "row_id", "kind", "a", "b", "before"])
+                    elif some or w in asked or last in asked:
+                        seen.add((last, w))
+                        out.append((src, row, "context", last, w, None))
+            columns = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), batch.column("row_id").type, *[pa.string()] * 4))], ["src", "row_id", "kind", "a", "b", "c"])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"src string, row_id {kinds['row_id']}, kind string, a string, b string, before string")
+    kinds = dict(found.dtypes)
+    texts = found.filter(F.col("forms").isNotNull()).select("src", "row_id", "forms", "near")
+    return texts.mapInArrow(run, f"src string, row_id {kinds['row_id']}, kind string, a string, b string, c string")
 
 
 @dataclass
 class Evidence:
     """Tables written by ``weigh``: what each text shows by itself, and the readings that the counts give."""
 
+    texts: DataFrame  # (src, row_id, text, cuts, broken, forms, at, upto): the texts as ``examined``
     local: DataFrame  # (src, row_id, kind)
     glyphs: DataFrame  # (src, row_id, a, reading): words that only the counts show to be misread
     broken: DataFrame  # (src, row_id, a, reading): words whose characters show it, where a reading is known
@@ -371,34 +452,43 @@ def _skeleton_col(c: Column) -> Column:
     return F.translate(c, "".join(_SIGN), "".join(_SIGN.values()))
 
 
-def weigh(rows: DataFrame, extra: DataFrame, *, ratio: int = RATIO, supported: int = SUPPORTED, known: int = KNOWN, heavy: int = HEAVY) -> Evidence:
-    """All evidence of noise in (src, row_id, text, title) rows; ``extra`` are texts (column text) that only add to the counts.
+def weigh(rows: DataFrame, extra: DataFrame, *, ratio: int = RATIO, supported: int = SUPPORTED, systematic: int = SYSTEMATIC, lift: int = LIFT, known: int = KNOWN, heavy: int = HEAVY, places: bool = True) -> Evidence:
+    """All evidence of noise in (src, row_id, text, titles) rows; ``extra`` are texts (column text) that only add to the counts.
 
-    Words are counted with map-side sums. A form with more than one ``heavy``-th of all words cannot be a misreading or part of a divided word; there are
-    fewer than ``heavy`` such forms, so they are broadcast and only the rest of the words, each once a text, is shuffled. A null title finds no headers. Texts
-    without words show only what their characters show.
+    Words are counted with map-side sums. There are fewer than ``heavy`` common forms, so they are broadcast, and only the words that ``suspects`` leaves are shuffled. Null
+    titles find no headers. Texts without words show only what their characters show.
+    ``repair`` needs the ``places`` of words; the noise alone does not.
     """
-    scratch = Scratch(rows.sparkSession, "scans")
-    forms = scratch.put(count_forms(rows, extra))
-    total = forms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]  # one row
-    least = max(known * ratio * 4, total // heavy)
-    # bounded: fewer than `heavy` forms can each have more than total / heavy of all occurrences
-    top = [r["form"] for r in forms.filter(F.col("n") > least).select("form").collect()] if total else []
-    common = rows.sparkSession.sparkContext.broadcast(frozenset(top))
-    found = scratch.put(suspects(rows, common))
-
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "scans")
+    texts = scratch.put(examined(rows, places))
+    forms = scratch.put(count_forms(texts, extra))
     counted = forms.filter(F.col("n") >= known)
     best = counted.groupBy(_skeleton_col(F.col("form")).alias("skeleton")).agg(F.max_by("form", F.struct("n", "form")).alias("reading"), F.max_by("surface", F.struct("n", "form")).alias("surface"), F.max("n").alias("most"))
-    word = found.filter("kind = 'word'").select("src", "row_id", "a", "before")
-    distinct = word.select("a").distinct().join(forms.select(F.col("form").alias("a"), "n"), "a").withColumn("skeleton", _skeleton_col(F.col("a")))
-    likely = distinct.join(best, "skeleton").filter((F.col("reading") != F.col("a")) & (F.col("most") >= F.col("n") * supported))
-    likely = scratch.put(likely.select("a", "reading", "surface", "n", "most"))
-    doubtful = word.join(likely, "a")
-    decisive = F.col("most") >= F.col("n") * F.when(F.col("n") <= 2, ratio).otherwise(SYSTEMATIC)
-    sure = doubtful.filter(decisive).select("src", "row_id", "a", F.col("surface").alias("reading"))
-    # context: the reading stands after the same word in some other text, too
-    pairs = found.filter("kind = 'pair'").select(F.col("a").alias("before"), F.col("b").alias("reading")).groupBy("before", "reading").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    backed = doubtful.filter(~decisive & (F.col("n") <= 2) & F.col("before").isNotNull()).join(pairs, ["before", "reading"]).select("src", "row_id", "a", F.col("surface").alias("reading"))
+    best = scratch.put(best)
+    # every form that a more frequent one of its skeleton may replace
+    mates = forms.filter(F.char_length("form") >= LEAST_LETTERS).select(F.col("form").alias("a"), "n").withColumn("skeleton", _skeleton_col(F.col("a"))).join(best, "skeleton")
+    likely = mates.filter((F.col("reading") != F.col("a")) & (F.col("most") >= F.col("n") * supported))
+    likely = scratch.put(likely.select("a", "reading", "surface", "n", "most", (F.col("most") >= F.col("n") * systematic).alias("sure")).filter(F.col("sure") | (F.char_length("a") >= CONTEXT_LETTERS)))
+
+    total = forms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]  # one row
+    least = max(known, total // heavy)
+    # bounded, all three: fewer than `heavy` forms can each have more than total / heavy of all occurrences
+    top = forms.filter(F.col("n") > least)
+    open_ = likely.filter(F.col("n") > least).select("a")
+    asked = likely.filter(~F.col("sure") & (F.col("most") > least)).select("reading").distinct()
+    shared = spark.sparkContext.broadcast(tuple(frozenset(r[0] for r in t.collect()) for t in (top.select("form"), open_, asked)))
+    found = scratch.put(suspects(texts, shared))
+
+    doubtful = found.filter("kind = 'word'").select("src", "row_id", "a", F.col("b").alias("before"), F.col("c").alias("after")).join(likely, "a")
+    sure = doubtful.filter("sure").select("src", "row_id", "a", F.col("surface").alias("reading"))
+    # context: in other texts the reading stands beside the same word, and more often than chance would have it
+    unsure = doubtful.filter("NOT sure")
+    beside = F.explode(F.array(F.struct(F.col("before").alias("l"), F.col("reading").alias("r"), F.col("before").alias("other")), F.struct(F.col("reading").alias("l"), F.col("after").alias("r"), F.col("after").alias("other"))))
+    wanted = unsure.select("src", "row_id", "a", "surface", "most", beside.alias("p")).select("src", "row_id", "a", "surface", "most", "p.*").filter(F.col("other").isNotNull())
+    times = found.filter("kind IN ('pair', 'context')").groupBy(F.col("a").alias("l"), F.col("b").alias("r")).agg(F.count("*").alias("times")).filter("times > 1")
+    met = wanted.join(times, ["l", "r"]).join(forms.select(F.col("form").alias("other"), F.col("n").alias("n_other")), "other")
+    backed = met.filter(F.col("times") * total >= F.lit(lift) * F.col("n_other") * F.col("most")).select("src", "row_id", "a", F.col("surface").alias("reading"))
     glyphs = scratch.put(sure.unionByName(backed).distinct())
 
     pair = found.filter("kind = 'pair'").select("src", "row_id", "a", "b", F.concat("a", "b").alias("form"))
@@ -406,14 +496,15 @@ def weigh(rows: DataFrame, extra: DataFrame, *, ratio: int = RATIO, supported: i
     part = lambda c: forms.select(F.col("form").alias(c), F.col("n").alias(f"n_{c}"))
     rarer = F.least("n_a", "n_b")
     joins = whole.join(part("a"), "a").join(part("b"), "b").filter(F.col("whole") >= rarer * ratio).select("src", "row_id", "a", "b")
-    torn = found.filter("kind = 'broken'").select("src", "row_id", "a")
+    torn = texts.filter(F.col("forms").isNotNull() & (F.size("guesses") > 0)).select("src", "row_id", F.explode("guesses").alias("a"))
     whole_ = torn.filter(~F.col("a").contains(LOST)).withColumn("skeleton", _skeleton_col(F.col("a"))).join(best.select("skeleton", F.col("surface").alias("reading")), "skeleton")
     # a lost character may be any: known forms with each of their characters lost in turn
     places = F.explode(F.sequence(F.lit(1), F.char_length("form")))
     gapped = counted.select("form", "surface", "n", places.alias("k")).select(F.concat(F.expr("substring(form, 1, k - 1)"), F.lit(LOST), F.expr("substring(form, k + 1)")).alias("a"), "surface", "n")
     filled = torn.filter(F.col("a").contains(LOST)).join(gapped, "a").groupBy("src", "row_id", "a").agg(F.max_by("surface", F.struct("n", "surface")).alias("reading"))
     mended = whole_.select("src", "row_id", "a", "reading").unionByName(filled)
-    return Evidence(found.filter("kind NOT IN ('word', 'pair', 'broken')").select("src", "row_id", "kind"), glyphs, mended, scratch.put(joins.distinct()))
+    local = texts.filter(F.col("forms").isNotNull()).select("src", "row_id", F.explode("kinds").alias("kind"))
+    return Evidence(texts.filter(F.col("forms").isNotNull()), local, glyphs, mended, scratch.put(joins.distinct()))
 
 
 def noise(evidence: Evidence) -> DataFrame:
@@ -440,17 +531,16 @@ def _with_line(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def repair_text(found: Finding, readings: dict[str, str], joined: set[tuple[str, str]]) -> str:
+def repair_text(text: str, cuts: list[tuple[int, int]], broken: list[tuple[int, int]], words: list[tuple[str, int, int]], readings: dict[str, str], joined: set[tuple[str, str]]) -> str:
     """The text without headers and page numbers, divided words joined, misread words read. Lines stay."""
-    text = found.text
-    edits: list[tuple[int, int, str]] = [(*_with_line(text, a, b), "") for a, b in _joined(found.headers + found.pages)]
-    for a, b in found.broken:
+    edits: list[tuple[int, int, str]] = [(*_with_line(text, a, b), "") for a, b in cuts]
+    for a, b in broken:
         w = guess(text[a:b])
         if w in readings:
             edits.append((a, b, _like(text[a:b], readings[w])))
-    for i, (w, a, b) in enumerate(found.words):
-        nxt = found.words[i + 1] if i + 1 < len(found.words) else None
-        if nxt and (w, nxt[0]) in joined and text[b : nxt[1]].isspace():
+    for i, (w, a, b) in enumerate(words):
+        nxt = words[i + 1] if i + 1 < len(words) else None
+        if nxt and (w, nxt[0]) in joined and divided(text[b : nxt[1]]):
             edits.append((b, nxt[1], ""))
         elif w in readings:
             edits.append((a, b, _like(text[a:b], readings[w])))
@@ -464,7 +554,7 @@ def repair_text(found: Finding, readings: dict[str, str], joined: set[tuple[str,
     return re.sub(rf"(?<={_LETTER})[{STRAY}]+(?={_LETTER})", "", text)
 
 
-def repair(rows: DataFrame, evidence: Evidence) -> DataFrame:
+def repair(evidence: Evidence) -> DataFrame:
     """(src, row_id, paragraph, text): the repaired texts as continuous paragraphs, numbered from 0.
 
     Lines are joined by windows over the lines of each text: a paragraph ends at a blank line and after a line that ends a sentence and is clearly shorter than
@@ -472,18 +562,21 @@ def repair(rows: DataFrame, evidence: Evidence) -> DataFrame:
     """
     readings = evidence.glyphs.unionByName(evidence.broken).groupBy("src", "row_id", "a").agg(F.min("reading").alias("reading")).groupBy("src", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "reading"))).alias("readings"))
     joined = evidence.joins.groupBy("src", "row_id").agg(F.collect_list(F.struct("a", "b")).alias("joined"))
-    full = rows.join(readings, ["src", "row_id"], "left").join(joined, ["src", "row_id"], "left")
-    kinds = dict(rows.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, found in _examined(batches):
-            texts = []
-            for f, readings, joined in zip(found, b["readings"], b["joined"]):
-                known = dict(readings) if isinstance(readings, (dict, list)) else {}
-                texts.append(repair_text(f, known, {(p["a"], p["b"]) for p in joined} if joined is not None else set()))
-            yield pd.DataFrame({"src": b["src"], "row_id": b["row_id"], "lines": [[x.strip() for x in _LINES.split(t)] for t in texts]})
-
-    lined = full.mapInPandas(run, f"src string, row_id {kinds['row_id']}, lines array<string>").select("src", "row_id", F.posexplode("lines").alias("no", "line"))
+    keys = ["src", "row_id"]
+    texts = evidence.texts.select(*keys, "text", "cuts", "broken", "forms", "at", "upto")
+    full = texts.join(readings, keys, "left").join(joined, keys, "left")
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts, broken, forms, at, upto, readings, joined in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts", "broken", "forms", "at", "upto", "readings", "joined"))):
+                plain = lambda xs: [(x["a"], x["b"]) for x in xs]
+                fixed = repair_text(text, plain(cuts), plain(broken), list(zip(forms, at, upto)), dict(readings or ()), {(p["a"], p["b"]) for p in joined or ()})
+                out.append([x.strip() for x in _LINES.split(fixed)])
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("row_id"), pa.array(out, pa.list_(pa.string()))], ["src", "row_id", "lines"])
+
+    lined = full.mapInArrow(run, f"src string, row_id {kinds['row_id']}, lines array<string>").select("src", "row_id", F.posexplode("lines").alias("no", "line"))
     text = Window.partitionBy("src", "row_id")
     order = text.orderBy("no")
     before = F.lag("line").over(order)

@@ -102,5 +102,5 @@ def test_scans(spark):
     ready = scans.scanned(texts.select("src", "row_id", "work_id", "text"), works)
     evidence = scans.weigh(ready, texts.select("text").limit(0))
     assert sorted((r["row_id"] or 0, r["noise"]) for r in scans.noise(evidence).collect()) == [(0, "glyph"), (0, "hyphen"), (0, "pageno")]
-    text = scans.repair(ready, evidence).filter("row_id IS NULL").collect()
+    text = scans.repair(evidence).filter("row_id IS NULL").collect()
     assert "κρυβεγαπία" in text[0]["text"] and "-" not in text[0]["text"]
