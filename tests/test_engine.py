@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stemmata.config import Params
 from stemmata.functions import cleaning, similarity
 from stemmata.functions.text import normalise
-from stemmata.operators import align, grams, importer, numbers, packages, passages, retrieval, subwords, topos, units, verdicts
+from stemmata.operators import align, current, grams, importer, numbers, packages, passages, retrieval, subwords, topos, units, verdicts
 from stemmata.plans import sweep
 
 
@@ -19,6 +19,13 @@ def one(spark, expr_of, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr_of(F.col("x")).alias("y")).collect()[0]["y"]
 
 
+def test_current_rows_without_shuffling_wide_columns(spark):
+    rows = [(1, "k", 5, "old"), (2, "k", 7, "new"), (3, "k", 7, "newer"), (4, None, 1, "a"), (5, None, None, "b"), (6, "x", None, "only")]
+    df = spark.createDataFrame(rows, "id long, k string, t int, text string")
+    assert sorted(r["text"] for r in current.latest_wide(df, ["k"], ["t", "id"], "id").collect()) == sorted(r["text"] for r in current.latest(df, ["k"], ["t", "id"]).collect()) == ["a", "newer", "only"]
+    assert current.latest_wide(df.limit(0), ["k"], ["t"], "id").count() == 0
+
+
 # similarity -----------------------------------------------------------------------------------
 
 
