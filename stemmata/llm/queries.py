@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemmata.llm import cutoff, encode, groups, pack, repeats, scans, spans, split, terms, topn
-from stemmata.operators.current import latest
+from stemmata.operators.current import latest, latest_wide
 from stemmata.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def records(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     return latest(rows, ["rel_id"], ["loaded_at", "match_id"])
 
 
+def snippets(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    """Current match records with their texts, which are not shuffled."""
+    rows = _read(spark, sf, "wp2_canon_clean").select(*dict.fromkeys(["rel_id", "loaded_at", "match_id", "snippet_i", "snippet_j", *columns]))
+    return latest_wide(rows, ["rel_id"], ["loaded_at", "match_id"], "match_id").select("match_id", "snippet_i", "snippet_j", *columns)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     table = split.boundary_table(split.parts_of(segments(spark, sf, [*UNIT, "text"])), UNIT, "seg_pos")
     return split.oversized(table, UNIT).select(*UNIT, "boundary")
@@ -50,23 +56,23 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.record_pairs(records(spark, sf, ["snippet_i", "snippet_j"]), "match_id", ["snippet_i", "snippet_j"])
+    return spans.record_pairs(snippets(spark, sf, []), "match_id", ["snippet_i", "snippet_j"])
 
 
 def p3_shared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records(spark, sf, ["snippet_i", "snippet_j", "chain_len"])
+    rows = snippets(spark, sf, ["chain_len"])
     out = spans.shared_part(rows, "match_id", ["snippet_i", "snippet_j"], ["chain_len"])
     return out.withColumn("longest_to_chain", F.when(F.col("chain_len") > 0, F.col("longest") / F.col("chain_len")))
 
 
 def p3_passages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spans.sides(records(spark, sf, ["snippet_i", "snippet_j"]), "match_id", ["snippet_i", "snippet_j"])
+    rows = spans.sides(snippets(spark, sf, []), "match_id", ["snippet_i", "snippet_j"])
     return spans.fuzzy_passages(rows, "match_id")
 
 
 def p3_members(spark: SparkSession, sf: str) -> DataFrame:
     """The records behind the classes of p3_passages."""
-    rows = spans.sides(records(spark, sf, ["snippet_i", "snippet_j"]), "match_id", ["snippet_i", "snippet_j"])
+    rows = spans.sides(snippets(spark, sf, []), "match_id", ["snippet_i", "snippet_j"])
     return spans.class_members(rows, "match_id")
 
 
@@ -177,6 +183,24 @@ WITH s AS (SELECT match_id, unnest([snippet_i, snippet_j]) AS t FROM {_RECORDS})
 w AS (SELECT match_id, regexp_split_to_array(trim(t, chr(32) || chr(9) || chr(10) || chr(13)), '\s+') AS w FROM s WHERE t IS NOT NULL),
 g AS (SELECT DISTINCT match_id, unnest(list_transform(range(1, len(w) - 10), lambda x: array_to_string(w[x:x + 11], ' '))) AS g FROM w WHERE len(w) >= 12)
 SELECT DISTINCT a.match_id AS match_id_a, b.match_id AS match_id_b FROM g a JOIN g b ON a.g = b.g AND a.match_id < b.match_id""",
+    "p3_shared": rf"""
+WITH r AS (SELECT match_id, chain_len, snippet_i, snippet_j FROM {_RECORDS}),
+s AS (SELECT match_id, unnest([0, 1]) AS side, unnest([snippet_i, snippet_j]) AS t FROM r),
+w AS (SELECT match_id, side, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM s WHERE t IS NOT NULL),
+g AS (SELECT match_id, side, unnest(range(1, len(w) - 10)) AS p, unnest(list_transform(range(1, len(w) - 10), lambda x: array_to_string(w[x:x + 11], ' '))) AS g FROM w WHERE len(w) >= 12),
+m AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT match_id) > 1),
+h AS (SELECT DISTINCT match_id, side, unnest(range(p, p + 12)) AS q FROM g WHERE g IN (SELECT g FROM m)),
+i AS (SELECT match_id, side, q - row_number() OVER (PARTITION BY match_id, side ORDER BY q) AS island FROM h),
+l AS (SELECT match_id, max(n) AS longest, sum(n) AS shared_words FROM (SELECT match_id, side, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY match_id),
+n AS (SELECT match_id, sum(len(w)) AS words FROM w GROUP BY match_id)
+SELECT r.match_id, chain_len, coalesce(words, 0)::BIGINT AS words, coalesce(shared_words, 0)::BIGINT AS shared_words, coalesce(longest, 0)::BIGINT AS longest, CASE WHEN words > 0 THEN coalesce(shared_words, 0) / words ELSE 0.0::DOUBLE END AS shared,
+  CASE WHEN chain_len > 0 THEN coalesce(longest, 0) / chain_len END AS longest_to_chain
+FROM r LEFT JOIN n USING (match_id) LEFT JOIN l USING (match_id)""",
+    "p4_scores": rf"""
+WITH t AS (SELECT work_id, seg_pos, unnest({_TOKENS}) AS term FROM {_SEGMENTS} WHERE text IS NOT NULL),
+f AS (SELECT work_id, seg_pos, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df, sum(tf) OVER (PARTITION BY work_id, seg_pos) AS n FROM f),
+c AS (SELECT count(*) AS records FROM (SELECT DISTINCT work_id, seg_pos FROM f))
+SELECT work_id, seg_pos, term, tf::INT AS tf, n::INT AS n_terms, df, tf / n * (ln((1 + records) / (1 + df)) + 1) AS score FROM d, c""",
     "p4_found": rf"""
 WITH t AS (SELECT work_id, seg_pos, unnest({_TOKENS}) AS term FROM {_SEGMENTS} WHERE text IS NOT NULL),
 f AS (SELECT work_id, seg_pos, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM f)

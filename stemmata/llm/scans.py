@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
@@ -366,7 +367,7 @@ def examined(rows: DataFrame, places: bool = True) -> DataFrame:
                 counted.update([f.text[a:b].lower() for _, a, b in words])
                 pair = lambda xs: [{"a": a, "b": b} for a, b in xs]
                 ends = [-1, *(e for _, _, e in words)]
-                near = [e >= 0 and divided(f.text[e:a]) for e, (_, a, _) in zip(ends, words)]
+                near = [e >= 0 and (f.text[e:a] == " " or divided(f.text[e:a])) for e, (_, a, _) in zip(ends, words)]
                 one = {"src": src, "row_id": row, "kinds": sorted(f.kinds), "guesses": sorted({guess(f.text[a:b]) for a, b in f.broken}), "forms": [w for w, _, _ in words], "near": near}
                 if places:
                     one |= {"text": f.text, "cuts": pair(_joined(f.headers + f.pages)), "broken": pair(f.broken), "at": [a for _, a, _ in words], "upto": ends[1:]}
@@ -377,6 +378,13 @@ def examined(rows: DataFrame, places: bool = True) -> DataFrame:
     return rows.select("src", "row_id", "text", "titles").mapInArrow(run, ddl)
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[object]]:
+    """The lists of a column without nulls, taken from its values at once, which is many times faster than list by list."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends], ends))
+
+
 def count_forms(found: DataFrame, extra: DataFrame) -> DataFrame:
     """(form, n, surface): how often each word form stands in the examined texts and in the ``extra`` texts (column text), which are taken as clean, and how it is mostly written.
 
@@ -409,7 +417,7 @@ def suspects(found: DataFrame, shared: Broadcast[tuple[frozenset[str], frozenset
         common, open_, asked = shared.value
         for batch in batches:
             out: list[tuple[object, ...]] = []
-            for src, row, forms, near in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "forms", "near"))):
+            for src, row, forms, near in zip(batch.column("src").to_pylist(), batch.column("row_id").to_pylist(), _lists(batch.column("forms")), _lists(batch.column("near"))):
                 seen: set[tuple[str, ...]] = set()
                 n = len(forms)
                 rare = [w not in common for w in forms]
@@ -570,7 +578,7 @@ def repair(evidence: Evidence) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cuts, broken, forms, at, upto, readings, joined in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts", "broken", "forms", "at", "upto", "readings", "joined"))):
+            for text, cuts, broken, readings, joined, forms, at, upto in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts", "broken", "readings", "joined")), *(_lists(batch.column(c)) for c in ("forms", "at", "upto"))):
                 plain = lambda xs: [(x["a"], x["b"]) for x in xs]
                 fixed = repair_text(text, plain(cuts), plain(broken), list(zip(forms, at, upto)), dict(readings or ()), {(p["a"], p["b"]) for p in joined or ()})
                 out.append([x.strip() for x in _LINES.split(fixed)])

@@ -17,7 +17,7 @@ HEAVY_SHARE = 2000
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, term, tf, n_terms): one row per record and distinct normalised token; n_terms is the record's number of tokens.
+    """(keys, term, tf, n_terms, first): one row per record and distinct normalised token; n_terms is the record's number of tokens, first marks one row of each record.
 
     Counted where the rows lie, so a record's postings are pre-aggregated before any shuffle. Null and blank texts give no rows.
     """
@@ -34,7 +34,8 @@ def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", terms array<string>, tfs array<int>, n_terms int"
     listed = rows.select(*keys, text).mapInPandas(run, schema)
-    return listed.select(*keys, "n_terms", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(*keys, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), "n_terms")
+    spread = listed.select(*keys, "n_terms", F.posexplode(F.arrays_zip("terms", "tfs")).alias("at", "x"))
+    return spread.select(*keys, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), "n_terms", (F.col("at") == 0).alias("first"))
 
 
 def tf_idf(rows: DataFrame, keys: list[str], text: str = "text", *, heavy_share: int = HEAVY_SHARE) -> DataFrame:
@@ -49,7 +50,7 @@ def tf_idf(rows: DataFrame, keys: list[str], text: str = "text", *, heavy_share:
     postings = scratch.put(term_counts(rows, keys, text))
     df = scratch.put(postings.groupBy("term").agg(F.count("*").alias("df")))
     total = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).collect()[0]["n"]  # one row
-    n = postings.select(*keys).distinct().count()
+    n = postings.filter("first").count()
     limit = max(1, total // heavy_share)
     # proven bound: fewer than heavy_share terms can each have more than total / heavy_share postings
     heavy = F.broadcast(df.filter(F.col("df") > limit))
