@@ -82,7 +82,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.tf_idf(segments(spark, sf, ["text"]), SEGMENT)
+    return terms.tf_idf(segments(spark, sf, ["text"]), SEGMENT).withColumn("score", F.round("score", 9))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +200,7 @@ FROM r LEFT JOIN n USING (match_id) LEFT JOIN l USING (match_id)""",
 WITH t AS (SELECT work_id, seg_pos, unnest({_TOKENS}) AS term FROM {_SEGMENTS} WHERE text IS NOT NULL),
 f AS (SELECT work_id, seg_pos, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df, sum(tf) OVER (PARTITION BY work_id, seg_pos) AS n FROM f),
 c AS (SELECT count(*) AS records FROM (SELECT DISTINCT work_id, seg_pos FROM f))
-SELECT work_id, seg_pos, term, tf::INT AS tf, n::INT AS n_terms, df, tf / n * (ln((1 + records) / (1 + df)) + 1) AS score FROM d, c""",
+SELECT work_id, seg_pos, term, tf::INT AS tf, n::INT AS n_terms, df, round(tf / n * (ln((1 + records) / (1 + df)) + 1), 9) AS score FROM d, c""",
     "p4_found": rf"""
 WITH t AS (SELECT work_id, seg_pos, unnest({_TOKENS}) AS term FROM {_SEGMENTS} WHERE text IS NOT NULL),
 f AS (SELECT work_id, seg_pos, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM f)

@@ -2,10 +2,12 @@
 
 An item (unit) is a sequence of parts, joined by one space; it may be far larger than a task's memory.
 
-1. Workers read parts and detect their boundaries: sentence ends and white space (``boundary_table``).
-2. The lengths are prefix-summed to the offset of each part in its unit: inside blocks of parts, then over the
+1. Parts over the limit are cut into ranges of characters. A range has the character before it as halo, and its border does not lie behind white space, so every
+   boundary is seen whole by one range (``ranges``). Workers detect the boundaries of their ranges: sentence ends and white space (``detect``).
+2. The ranges' tables are stitched to the longest sentence and run of each part: what is open at a border goes on in the next range (``boundary_table``).
+3. The lengths are prefix-summed to the offset of each part in its unit: inside blocks of parts, then over the
    blocks' sums, so a unit of very many parts is not ordered in one task (``offsets``).
-3. The unit's line of characters is divided into ranges. Each range gets its own characters and a halo on either side. At
+4. The unit's line of characters is divided into ranges. Each range gets its own characters and a halo on either side. At
    every border the first natural boundary of the right halo is a cut: the range on its left sees it in its halo, the range on its right
    at its start, so neighbours agree without talking to each other, and ranges emit their pieces by offset on their own (``pieces``).
 """
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,41 @@ _BETWEEN = re.compile(rf"(?<=[{re.escape(ENDERS)}])\s+|[^\S\n]*\n\s*\n\s*")
 _SPACE = re.compile(r"\s+")
 
 
-def longest_sentence(text: str) -> int:
-    """Of the stretches between sentence ends and blank lines, outer white space removed."""
-    return max((len(s.strip()) for s in _BETWEEN.split(text)), default=0)
+def borders(text: str, span: int) -> list[int]:
+    """Where ranges of about ``span`` characters begin: every ``span`` characters, moved on until the character before is no white space."""
+    out, n = [0], len(text)
+    while out[-1] + span < n:
+        at = out[-1] + span
+        while at < n and text[at - 1].isspace():
+            at += 1
+        if at >= n:
+            break
+        out.append(at)
+    return out
+
 
+def _open(pieces: list[str], begins: bool, ends: bool) -> tuple[int, int, int, bool]:
+    """(first, last, longest, any) of the stretches of a range: the one that goes on from the range before, the one that is open at its end, the longest between, and whether there is a boundary at all.
+
+    Outer white space is no part of a stretch, but a stretch that goes on over a border keeps what is inside it.
+    """
+    if len(pieces) == 1:
+        only = pieces[0].lstrip() if begins else pieces[0]
+        return 0, len(only.rstrip() if ends else only), 0, False
+    first = pieces[0].strip() if begins else pieces[0].rstrip()
+    last = pieces[-1].strip() if ends else pieces[-1].lstrip()
+    return len(first), len(last), max((len(x.strip()) for x in pieces[1:-1]), default=0), True
 
-def longest_run(text: str) -> int:
-    return max(map(len, text.split()), default=0)
+
+def detect(text: str, halo: int, begins: bool, ends: bool) -> tuple[int, int, int, bool, int, int, int, bool]:
+    """The table of one range whose text has ``halo`` characters before it: sentences, then runs without white space; ``begins`` and ``ends`` tell whether it holds the part's start and end."""
+    at, sentences = halo, []
+    for m in _BETWEEN.finditer(text, 0):
+        if m.end() > halo:
+            sentences.append(text[at : max(m.start(), halo)])
+            at = m.end()
+    sentences.append(text[at:])
+    return *_open(sentences, begins, ends), *_open(_SPACE.split(text[halo:]), begins, ends)
 
 
 def parts_of(segments: DataFrame) -> DataFrame:
@@ -47,24 +78,78 @@ def parts_of(segments: DataFrame) -> DataFrame:
     return segments.filter(~is_blank(F.col("text"))).select("work_id", "chapter", empty("page"), F.col("seg_pos").cast("bigint").alias("seg_pos"), "text")
 
 
-def boundary_table(parts: DataFrame, unit: list[str], order: str, text: str = "text", *, limit: int = LIMIT) -> DataFrame:
-    """(unit, order, length, sentence, run): per part its length, longest sentence and longest run without white space.
+_TABLE = ("first", "last", "longest", "any")
 
-    Of a part within the limit no sentence or run can exceed it, so their length is not looked for and stands as 0.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            length = b[text].str.len()
-            over = length > limit
-            sentence, word = pd.Series(0, index=b.index), pd.Series(0, index=b.index)
-            sentence[over] = b.loc[over, text].map(longest_sentence).astype("int64")
-            word[over] = b.loc[over, text].map(longest_run).astype("int64")
-            yield pd.DataFrame({c: b[c] for c in (*unit, order)} | {"length": length, "sentence": sentence, "run": word})
+def ranges(parts: DataFrame, keys: list[str], text: str = "text", *, span: int = RANGE) -> DataFrame:
+    """(keys, __no, __of, __halo, text): the ranges of each part, numbered, their number, and the characters of halo that the text begins with. Each character is copied once."""
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
 
-    kinds = dict(parts.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*unit, order))
-    return parts.select(*unit, order, text).mapInPandas(run, f"{schema}, length bigint, sentence bigint, run bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, no, of, halo, texts = [], [], [], [], []
+            for row, value in enumerate(batch.column(text)):
+                whole = value.as_py()
+                starts = borders(whole, span)
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(whole)])):
+                    at.append(row)
+                    no.append(k)
+                    of.append(len(starts))
+                    halo.append(min(a, 1))
+                    texts.append(whole[a - halo[-1] : b])
+            kept = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(of, pa.int32()), pa.array(halo, pa.int32()), pa.array(texts, pa.string())], [*keys, "__no", "__of", "__halo", text])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    return parts.select(*keys, text).mapInArrow(run, f"{schema}, __no int, __of int, __halo int, `{text}` string")
+
+
+def _detected(cut: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, __no, __s: sentences, __r: runs): the boundary tables of ranges."""
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    kind = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64()), ("any", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [detect(t, h, no == 0, no == of - 1) for t, h, no, of in zip(*(batch.column(c).to_pylist() for c in (text, "__halo", "__no", "__of")))]
+            tables = [pa.array([dict(zip(_TABLE, f[k : k + 4])) for f in found], kind) for k in (0, 4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "__no")), *tables], [*keys, "__no", "__s", "__r"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    table = "struct<first:bigint,last:bigint,longest:bigint,any:boolean>"
+    return cut.mapInArrow(run, f"{schema}, __no int, __s {table}, __r {table}")
+
+
+def _stitch(tables: Column) -> Column:
+    """The longest stretch of a part from the tables of its ranges in order."""
+
+    def step(acc: Column, t: Column) -> Column:
+        closed = F.greatest(acc["best"], acc["open"] + t["first"], t["longest"])
+        return F.struct(F.when(t["any"], t["last"]).otherwise(acc["open"] + t["last"]).alias("open"), F.when(t["any"], closed).otherwise(acc["best"]).alias("best"))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(tables, F.struct(zero.alias("open"), zero.alias("best")), step, lambda acc: F.greatest(acc["open"], acc["best"]))
+
+
+def boundary_table(parts: DataFrame, unit: list[str], order: str, text: str = "text", *, limit: int = LIMIT, span: int = RANGE) -> DataFrame:
+    """(unit, order, length, sentence, run): per part its length, longest sentence and longest run without white space.
+
+    Of a part within the limit no sentence or run can exceed it, so they are not looked for and stand as 0. Parts of one range are worked off where they lie; the ranges of
+    longer ones are spread over tasks and their tables stitched. The order must be unique in a unit.
+    """
+    keys = [*unit, order]
+    sized = parts.select(*keys, text).withColumn("length", F.char_length(text).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    small = sized.filter(F.col("length") <= limit).select(*keys, "length", zero.alias("sentence"), zero.alias("run"))
+    large = sized.filter(F.col("length") > limit)
+    one = _detected(ranges(large.filter(F.col("length") <= span), [*keys, "length"], text, span=span), [*keys, "length"], text)
+    spread = ranges(large.filter(F.col("length") > span), [*keys, "length"], text, span=span).repartition(*keys, "__no")
+    several = _detected(spread, [*keys, "length"], text)
+    # bounded: the ranges of one part
+    listed = several.groupBy(*keys, "length").agg(F.array_sort(F.collect_list(F.struct("__no", "__s", "__r"))).alias("t"))
+    whole = listed.select(*keys, "length", _stitch(F.transform("t", lambda x: x["__s"])).alias("sentence"), _stitch(F.transform("t", lambda x: x["__r"])).alias("run"))
+    single = one.select(*keys, "length", _stitch(F.array("__s")).alias("sentence"), _stitch(F.array("__r")).alias("run"))
+    return small.unionByName(single).unionByName(whole)
 
 
 def oversized(table: DataFrame, unit: list[str], *, limit: int = LIMIT) -> DataFrame:
@@ -145,6 +230,31 @@ def cut_range(text: str, base: int, start: int, stop: int, length: int, *, limit
     return out
 
 
+def _cells(placed: DataFrame, unit: list[str], text: str, limit: int, overlap: int, span: int) -> DataFrame:
+    """(unit, __range, __unit, __at, __text, __seam): what each part gives to each range of its unit, halos included, and where the range has the part's seam. One pass over the part."""
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, no, at, texts, seams = [], [], [], [], []
+            for row, (offset, first, last, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("offset", "__first", "__last")), batch.column(text))):
+                whole = value.as_py() + " "
+                for r in range(first, last + 1):
+                    lo, hi = r * span - overlap, (r + 1) * span + limit + 1
+                    a, b = max(0, lo - offset), min(len(whole), hi - offset)
+                    if b > a:
+                        rows.append(row)
+                        no.append(r)
+                        at.append(offset + a)
+                        texts.append(whole[a:b])
+                        seams.append(offset - 1 if lo < offset <= hi else None)
+            kept = batch.select([*unit, "__unit"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int64()), pa.array(at, pa.int64()), pa.array(texts, pa.string()), pa.array(seams, pa.int64())], [*unit, "__unit", "__range", "__at", "__text", "__seam"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in unit)
+    return placed.mapInArrow(run, f"{schema}, __unit bigint, __range bigint, __at bigint, __text string, __seam bigint")
+
+
 def pieces(parts: DataFrame, table: DataFrame, unit: list[str], order: str, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
     """(unit, start, end, cut, text): the ordered pieces of all units over the limit.
 
@@ -162,13 +272,8 @@ def pieces(parts: DataFrame, table: DataFrame, unit: list[str], order: str, text
     at, size = F.col("offset"), F.col("length") + 1  # a part and the space behind it
     first = F.greatest(F.lit(0), F.floor((at - limit - 1) / F.lit(span)))
     last = F.least(F.floor((at + size - 1 + overlap) / F.lit(span)), F.floor((F.col("__unit") - 1) / F.lit(span)))
-    ranged = carried.withColumn("__range", F.explode(F.sequence(first, last)))
-    lo, hi = F.col("__range") * span - overlap, (F.col("__range") + 1) * span + limit + 1
-    skip = F.greatest(F.lit(0), lo - at)
-    take = F.least(at + size, hi) - (at + skip)
-    piece = F.substring(F.concat(F.col(text), F.lit(" ")), (skip + 1).cast("int"), take.cast("int"))
-    seam = F.when((at > lo) & (at <= hi), at - 1)
-    cells = ranged.filter(take > 0).select(*unit, "__range", "__unit", (at + skip).alias("__at"), piece.alias("__text"), seam.alias("__seam"))
+    placed = carried.select(*unit, "__unit", "offset", first.cast("bigint").alias("__first"), last.cast("bigint").alias("__last"), text)
+    cells = _cells(placed, unit, text, limit, overlap, span)
     # bounded: the characters of one range with its halos
     gathered = cells.groupBy(*unit, "__range").agg(F.first("__unit").alias("__unit"), F.array_sort(F.collect_list(F.struct("__at", "__text"))).alias("__cells"), F.collect_list("__seam").alias("__seams"))
     joined: Column = F.array_join(F.transform("__cells", lambda x: x["__text"]), "")

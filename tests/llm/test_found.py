@@ -39,6 +39,28 @@ def test_boundaries(spark):
     assert split.oversized(table.limit(0), UNIT).count() == 0
 
 
+def test_ranges_are_stitched(spark):
+    """Whatever the span of a range, the tables say of a text what the text read whole says."""
+    rng = random.Random(12)
+    signs = ["a", "λό", ". ", "; ", " ", "  ", "\n", "\n \n", "x" * 9, "end.", "·", " q! ", "\u2003"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 120))) for _ in range(150)] + ["a " * 90, " " * 60 + "b" + " " * 60, "x" * 200, ". " * 70]
+    for t in texts:
+        starts = split.borders(t, 16)
+        assert starts == sorted(set(starts)) and all(not t[a - 1].isspace() for a in starts[1:])
+    df = spark.createDataFrame([("w", "1", None, k, t) for k, t in enumerate(texts)], "work_id string, chapter string, page string, seg_pos int, text string")
+    want = {k: (len(t), max(len(s.strip()) for s in split._BETWEEN.split(t)), max(map(len, t.split()), default=0)) for k, t in enumerate(texts)}
+    for span in (16, 50, 1 << 16):
+        got = {r["seg_pos"]: (r["length"], r["sentence"], r["run"]) for r in split.boundary_table(df, UNIT, "seg_pos", limit=10, span=span).collect()}
+        assert got == {k: v if v[0] > 10 else (v[0], 0, 0) for k, v in want.items()}
+
+
+def test_a_giant_part_is_linear():
+    """The characters handed on grow with the part, not with its square."""
+    text = "word. " * 50_000
+    starts = split.borders(text, 1000)
+    assert sum(b - a for a, b in zip(starts, [*starts[1:], len(text)])) == len(text) and len(starts) == 300
+
+
 @pytest.mark.parametrize("span", [100, 1 << 16])
 def test_pieces(spark, span):
     rng = random.Random(4)
