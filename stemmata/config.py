@@ -47,6 +47,10 @@ class Params:
     max_candidates: int = 4000
     mode: str = "v2"
     idf_scope: str = "corpus"
+    #: a bigram is frequent in a work if more units have it than this and than a 25th of them
+    cap_floor: int = 40
+    #: bigrams that stand in more works than this make no candidates; None sets no bound
+    most_works: int | None = None
     clamped: dict[str, object] = field(default_factory=dict)
 
     def checked(self) -> Params:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.config import Params
@@ -179,19 +179,21 @@ def bridges(found: Blocks, a: list[str], b: list[str]) -> tuple[dict[int, float]
     return left, right
 
 
-def snippet(words: list[str], lo: int, hi: int) -> str:
-    return " ".join(words[max(0, lo - CONTEXT) : min(len(words), hi + CONTEXT + 1)])
+def snippet(words: Column, lo: Column, hi: Column) -> Column:
+    """The words from ``lo`` to ``hi`` (from 1) with six words around."""
+    first = F.greatest(F.lit(1), lo - CONTEXT)
+    return F.array_join(F.slice(words, first, hi + CONTEXT - first + 1), " ")
 
 
 KEYS = "work_i string, work_j string, i int, j int"
-RECORD = f"{KEYS}, n_blocks int, n_chained int, chain_len int, matched_words int, matched_words_j int, lo_i int, hi_i int, lo_j int, hi_j int, word_range_i string, word_range_j string, snippet_i string, snippet_j string"
+RECORD = f"{KEYS}, n_blocks int, n_chained int, chain_len int, matched_words int, matched_words_j int, lo_i int, hi_i int, lo_j int, hi_j int, word_range_i string, word_range_j string"
 BLOCK = f"{KEYS}, block int, a int, b int, n int, core int"
 BRIDGE = f"{KEYS}, side string, word int, fuzz double"
 
 
-def with_words(candidates: DataFrame, units: DataFrame) -> DataFrame:
-    """Candidates with both units' words. Units are joined by their key, so no word is shuffled for a pair that is no candidate."""
-    side = lambda s: units.select(F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("label").alias(f"label_{s}"), F.col("orig").alias(f"orig_{s}"), F.col("norm").alias(f"norm_{s}"))
+def with_words(candidates: DataFrame, units: DataFrame, words: str = "norm") -> DataFrame:
+    """Candidates with both units' normalised words, or the column ``words`` of the units. Units are joined by their key, so no word is shuffled for a pair that is no candidate."""
+    side = lambda s: units.select(F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col(words).alias(f"{words}_{s}"))
     return candidates.join(side("i"), ["work_i", "i"]).join(side("j"), ["work_j", "j"])
 
 
@@ -214,7 +216,7 @@ def _each(df: DataFrame, params: Params, schema: str, rows: object) -> DataFrame
 def _record(r: object, f: Blocks, a: list[str], b: list[str]) -> list[tuple]:
     i, j = np.unique(f.i), np.unique(f.j)
     li, hi, lj, hj = int(i[0]), int(i[-1]), int(j[0]), int(j[-1])
-    return [(r.work_i, r.work_j, r.i, r.j, f.raw, len(f.n), int(f.n.max()), len(i), len(j), li + 1, hi + 1, lj + 1, hj + 1, f"{li + 1}–{hi + 1}", f"{lj + 1}–{hj + 1}", snippet(list(r.orig_i), li, hi), snippet(list(r.orig_j), lj, hj))]
+    return [(r.work_i, r.work_j, r.i, r.j, f.raw, len(f.n), int(f.n.max()), len(i), len(j), li + 1, hi + 1, lj + 1, hj + 1, f"{li + 1}–{hi + 1}", f"{lj + 1}–{hj + 1}")]
 
 
 def _blocks(r: object, f: Blocks, a: list[str], b: list[str]) -> list[tuple]:
@@ -228,8 +230,13 @@ def _bridges(r: object, f: Blocks, a: list[str], b: list[str]) -> list[tuple]:
 
 
 def match_records(candidates: DataFrame, units: DataFrame, params: Params) -> DataFrame:
-    """One record per candidate with a kept block: chain length, counts, ranges from 1, snippets with six words around."""
-    return _each(with_words(candidates, units), params, RECORD, _record)
+    """One record per candidate with a kept block: chain length, counts, ranges from 1, snippets with six words around.
+
+    The kernel reads normalised words only; the words as stored are joined to the records that it leaves.
+    """
+    found = _each(with_words(candidates, units), params, RECORD, _record)
+    cut = lambda s: snippet(F.col(f"orig_{s}"), F.col(f"lo_{s}"), F.col(f"hi_{s}")).alias(f"snippet_{s}")
+    return with_words(found, units, "orig").select(*found.columns, cut("i"), cut("j"))
 
 
 def kept_blocks(candidates: DataFrame, units: DataFrame, params: Params) -> DataFrame:

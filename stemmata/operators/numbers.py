@@ -19,10 +19,19 @@ def _same_author() -> Column:
     return F.coalesce("author_i", F.lit("")) == F.coalesce("author_j", F.lit(""))
 
 
-def with_authors(records: DataFrame, works: DataFrame) -> DataFrame:
-    """Records with author and title looked up by work, the last non-empty one of a work counting; unknown works give null."""
-    ok = lambda c: F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("title_latin")))
-    known = works.groupBy("work_id").agg(ok("author").alias("author"), F.max("title_latin").alias("title"))
+def names_of_works(records: DataFrame, order: str = "match_id") -> DataFrame:
+    """(work_id, author, title): of each work the last author and title that a record gives, in the order of the records, in each record i before j; null and empty ones do not count.
+
+    A work that has only empty ones has none. Combined map-side, so a work that stands in most records is no hot key.
+    """
+    side = lambda s, at: F.struct(F.col(f"work_{s}").alias("work_id"), F.col(f"author_{s}").alias("author"), F.col(f"title_{s}").alias("title"), F.struct(F.col(order).alias("o"), F.lit(at).alias("s")).alias("at"))
+    rows = records.select(F.explode(F.array(side("i", 0), side("j", 1))).alias("x")).select("x.*")
+    last = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("at"))).alias(c)
+    return rows.filter(F.col("work_id").isNotNull()).groupBy("work_id").agg(last("author"), last("title"))
+
+
+def with_authors(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Records with author and title by work from ``known`` (work_id, author, title), as ``names_of_works`` gives them; unknown works give null."""
     side = lambda s: known.select(F.col("work_id").alias(f"work_{s}"), F.col("author").alias(f"author_{s}"), F.col("title").alias(f"title_{s}"))
     bare = records.drop("author_i", "author_j", "title_i", "title_j")
     return bare.join(side("i"), "work_i", "left").join(side("j"), "work_j", "left")

@@ -54,5 +54,5 @@ def neighbours(records: DataFrame, most: int = NAMED) -> DataFrame:
     lone = rows.withColumn("size", F.count("*").over(sizes)).filter("size = 1").select(*PLACE, "match_id", "chain_len", "lo_i", "hi_i")
     found = clusters(records).join(lone, PLACE)
     between = F.greatest(F.lit(0), F.greatest(F.col("lo_i") - F.col("i_hi"), F.col("i_lo") - F.col("hi_i")) - 1)
-    order = Window.partitionBy(*PLACE, "cluster").orderBy("between", F.col("chain_len").desc(), "match_id")
+    order = Window.partitionBy(*PLACE, "cluster").orderBy("between", F.col("chain_len").desc_nulls_last(), "match_id")
     return found.withColumn("between", between).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*PLACE, "cluster", "match_id", "between", "rank")

@@ -9,6 +9,8 @@ from stemmata.config import Params
 from stemmata.operators.grams import bigrams
 
 PAIR = ["work_i", "work_j"]
+#: works in a block of a bigram's second side
+BLOCK = 128
 
 
 def work_pairs(works: DataFrame, limit: int | None = None) -> DataFrame:
@@ -19,9 +21,9 @@ def work_pairs(works: DataFrame, limit: int | None = None) -> DataFrame:
     return pairs.orderBy("ord_i", "ord_j").limit(limit) if limit is not None else pairs
 
 
-def bigram_df(grams: DataFrame, units: DataFrame) -> DataFrame:
-    """(work_id, g1, g2, df, cap): in how many units of its work a bigram stands, and the work's cap max(40, n / 25)."""
-    caps = units.groupBy("work_id").agg(F.greatest(F.lit(40), F.expr("count(*) div 25")).alias("cap"))
+def bigram_df(grams: DataFrame, units: DataFrame, floor: int = 40) -> DataFrame:
+    """(work_id, g1, g2, df, cap): in how many units of its work a bigram stands, and the work's cap max(floor, n / 25)."""
+    caps = units.groupBy("work_id").agg(F.greatest(F.lit(floor), F.expr("count(*) div 25")).alias("cap"))
     return grams.groupBy("work_id", "g1", "g2").agg(F.count("*").alias("df")).join(caps, "work_id")
 
 
@@ -31,19 +33,28 @@ def candidates(units: DataFrame, works: DataFrame, params: Params) -> DataFrame:
     v2 leaves a bigram out if it is frequent in both works, v1 if it is in the second. Bigrams of one work only are dropped before the join, on the
     counts per work. The join never meets frequent with frequent: in v2 the second side has a lane for its frequent rows, and only
     rows that are not frequent on the first side go there; in v1 frequent rows have no second side.
+
+    The cap is per work, as the reference semantics have it, so a bigram of W works still meets itself some (cap * W) ** 2 / 2 times. Its rows are spread: the second side is dealt into
+    blocks of about BLOCK works and the first sends a copy to each, so one bigram is the key of W / BLOCK tasks. ``most_works`` leaves out bigrams that nearly all works have; it is off by default.
     """
     grams = bigrams(units)
-    counted = bigram_df(grams, units)
-    # a group holds one row a work
-    works_with = F.count("*").over(Window.partitionBy("g1", "g2"))
-    known = counted.withColumn("n", works_with).filter("n > 1").select("work_id", "g1", "g2", (F.col("df") > F.col("cap")).alias("frequent"))
+    counted = bigram_df(grams, units, params.cap_floor)
+    # counted map-side and joined back, so the rows of all works that have a bigram are in no one task
+    several = counted.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1")
+    if params.most_works is not None:
+        several = several.filter(F.col("n") <= params.most_works)
+    known = counted.join(several, ["g1", "g2"]).select("work_id", "g1", "g2", (F.col("df") > F.col("cap")).alias("frequent"), (F.floor(F.col("n") / F.lit(BLOCK)) + 1).cast("int").alias("blocks"))
     rows = grams.join(known, ["work_id", "g1", "g2"]).join(works.select("work_id", "ord"), "work_id")
     side = lambda s: [F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("ord").alias(f"ord_{s}")]
+    # lanes 0.. hold the blocks of the second side's rows that are not frequent, -1 and below those of its frequent rows
+    own = F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     if params.mode == "v1":
-        left, right = rows.select("g1", "g2", F.lit(0).alias("lane"), *side("i")), rows.filter(~F.col("frequent")).select("g1", "g2", F.lit(0).alias("lane"), *side("j"))
+        left, right = rows.select("g1", "g2", F.explode(every).alias("lane"), *side("i")), rows.filter(~F.col("frequent")).select("g1", "g2", own.alias("lane"), *side("j"))
     else:
-        lanes = F.when(F.col("frequent"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        left, right = rows.select("g1", "g2", F.explode(lanes).alias("lane"), *side("i")), rows.select("g1", "g2", F.col("frequent").cast("int").alias("lane"), *side("j"))
+        lanes = F.when(F.col("frequent"), every).otherwise(F.concat(every, F.transform(every, lambda x: -1 - x)))
+        lane = F.when(F.col("frequent"), -1 - own).otherwise(own)
+        left, right = rows.select("g1", "g2", F.explode(lanes).alias("lane"), *side("i")), rows.select("g1", "g2", lane.alias("lane"), *side("j"))
     hits = left.join(right, ["g1", "g2", "lane"]).filter(F.col("ord_i") < F.col("ord_j"))
     return hits.groupBy(*PAIR, "i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= params.min_shared)
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemmata.config import ERA_RANK, OTHER_ERA, STEP, UNIT_TOKENS, UNITS_PER_WORK, WINDOW
+from stemmata.config import ERA_RANK, OTHER_ERA, STEP, UNIT_TOKENS, WINDOW
 from stemmata.functions.cleaning import clean_text
 from stemmata.functions.text import TOKEN, normalise
+from stemmata.scratch import Scratch
+
+#: rows in a block of a running sum
+BLOCK = 1024
 
 
 def era_rank(era: F.Column) -> F.Column:
@@ -30,37 +34,63 @@ def built_works(works: DataFrame, segments: DataFrame, only: list[str] | None =
     return named.withColumn("ord", F.row_number().over(Window.orderBy("era_rank", "work_id")) - 1)
 
 
-def page_texts(segments: DataFrame, group_by: str = "page", apparatus: bool = True) -> DataFrame:
-    """(work_id, pos, label, text): cleaned texts grouped by chapter and page, or one per segment with its ref as label.
+def segment_texts(segments: DataFrame, apparatus: bool = True) -> DataFrame:
+    """(work_id, pos, label, text): cleaned texts, one per segment with its ref as label; empty ones are dropped."""
+    cleaned = segments.filter(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("text", clean_text(F.col("text"), apparatus))
+    return cleaned.filter(F.col("text") != "").select("work_id", F.col("seg_pos").alias("pos"), F.col("ref").alias("label"), "text")
 
-    Segments of a page are joined in order wherever they stand; pages come in the order of their first segment. Null and empty
-    page are the same. Empty texts are dropped. A page is the text of one citation and bounded as such.
-    """
+
+def segment_words(segments: DataFrame, group_by: str = "page", apparatus: bool = True) -> DataFrame:
+    """(work_id, page, label, seg_pos, words): the words of each cleaned segment and the page it belongs to: chapter and page, null and empty being the same, or the segment itself."""
     cleaned = segments.filter(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("text", clean_text(F.col("text"), apparatus))
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("words")
+    ch, pg = F.coalesce("chapter", F.lit("")), F.coalesce("page", F.lit(""))
     if group_by == "segment":
-        return cleaned.filter(F.col("text") != "").select("work_id", F.col("seg_pos").alias("pos"), F.col("ref").alias("label"), "text")
-    keyed = cleaned.withColumn("ch", F.coalesce("chapter", F.lit(""))).withColumn("pg", F.coalesce("page", F.lit("")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "text"))), lambda x: x["text"])
-    grouped = keyed.groupBy("work_id", "ch", "pg").agg(F.min("seg_pos").alias("pos"), F.trim(F.array_join(parts, " ")).alias("text"))
-    return grouped.filter(F.col("text") != "").select("work_id", "pos", F.trim(F.concat("ch", F.lit("/"), "pg")).alias("label"), "text")
+        page, label = F.col("seg_pos").cast("string"), F.col("ref")
+    else:
+        page, label = F.concat(ch, F.lit("\0"), pg), F.trim(F.concat(ch, F.lit("/"), pg))
+    return cleaned.select("work_id", page.alias("page"), label.alias("label"), F.col("seg_pos").cast("bigint").alias("seg_pos"), words)
+
 
+def running(rows: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` over the rows of the same keys before it: inside blocks of ``order`` first, then over the blocks, so no key is summed in one task."""
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / F.lit(block)))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = blocked.withColumn("__in", before(Window.partitionBy(*keys, "__block").orderBy(order), value))
+    sums = blocked.groupBy(*keys, "__block").agg(F.sum(value).alias("__sum"))
+    starts = sums.withColumn("__start", before(Window.partitionBy(*keys).orderBy("__block"), "__sum")).drop("__sum")
+    return inside.join(starts, [*keys, "__block"]).withColumn(out, F.col("__in") + F.col("__start")).drop("__block", "__in", "__start")
 
-def windows(pages: DataFrame) -> DataFrame:
-    """(work_id, pos, window, label, text): windows of 140 words that overlap by 25; '#k' only where there is more than one."""
-    split = pages.withColumn("words", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
-    n = F.size("words")
-    last = F.when(n <= WINDOW, 0).otherwise(F.ceil((n - WINDOW) / F.lit(STEP)))
-    cut = split.withColumn("k", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    part = F.slice("words", F.col("k") * STEP + 1, F.lit(WINDOW))
-    label = F.when(n <= WINDOW, F.col("label")).otherwise(F.concat("label", F.lit("#"), (F.col("k") + 1).cast("string")))
-    text = F.when(n <= WINDOW, F.col("text")).otherwise(F.array_join(part, " "))
-    return cut.select("work_id", "pos", (F.col("k") + 1).alias("window"), label.alias("label"), text.alias("text"))
 
+def window_units(segments: DataFrame, group_by: str = "page", apparatus: bool = True) -> DataFrame:
+    """(work_id, unit_pos, label, text): windows of 140 words that overlap by 25 over the words of each page, '#k' in the label only where there is more than one; numbered
+    inside each work in the order of the pages' first segments.
 
-def numbered(units: DataFrame, per_work: int = UNITS_PER_WORK) -> DataFrame:
-    """Units with ``unit_pos`` 0.. inside each work, in order; those beyond ``per_work`` are dropped, as the reference limit has it."""
-    order = Window.partitionBy("work_id").orderBy("pos", "window")
-    return units.withColumn("unit_pos", F.row_number().over(order) - 1).filter(F.col("unit_pos") < per_work).drop("pos", "window")
+    Segments of a page come in order wherever they stand. No page is gathered: the words of a segment are counted, their place in the page is a running sum, and each segment
+    sends to every window the words it has in it. Segments without words count for nothing but the page's place. Null works are left out.
+    """
+    scratch = Scratch(segments.sparkSession, "words")
+    parts = scratch.put(segment_words(segments, group_by, apparatus).filter(F.col("work_id").isNotNull()))
+    sized = parts.select("work_id", "page", "seg_pos", F.size("words").alias("n"), "label")
+    pages = sized.groupBy("work_id", "page").agg(F.min("seg_pos").alias("pos"), F.sum("n").alias("total"), F.min("label").alias("label")).filter("total > 0")
+    count = F.when(F.col("total") <= WINDOW, 1).otherwise(F.ceil((F.col("total") - WINDOW) / F.lit(STEP)) + 1).cast("bigint")
+    pages = running(pages.withColumn("windows", count), ["work_id"], "pos", "windows", "first")
+    placed = running(sized.filter("n > 0").drop("label"), ["work_id", "page"], "seg_pos", "n", "offset").join(pages, ["work_id", "page"])
+    at, n, k0 = F.col("offset"), F.col("n"), F.col("first")
+    low = F.greatest(F.lit(0), F.ceil((at - WINDOW + 1) / F.lit(STEP)))
+    high = F.least(F.col("windows") - 1, F.floor((at + n - 1) / F.lit(STEP)))
+
+    def part(k: Column) -> Column:
+        skip = F.greatest(F.lit(0), k * STEP - at)
+        return F.struct(k.alias("k"), (at + skip).alias("at"), F.slice("words", (skip + 1).cast("int"), (F.least(n, k * STEP + WINDOW - at) - skip).cast("int")).alias("words"))
+
+    ranges = F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))  # the last window may end before what the next would begin with
+    sent = parts.select("work_id", "seg_pos", "words").join(placed, ["work_id", "seg_pos"])
+    cells = sent.select("work_id", "label", "windows", k0.alias("first"), F.explode(F.transform(ranges, part)).alias("x"))
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("x.at", "x.words"))), lambda c: c["words"]))  # 140 words
+    units = cells.groupBy("work_id", (F.col("first") + F.col("x.k")).alias("unit_pos")).agg(F.first("label").alias("label"), F.first("windows").alias("windows"), F.first("x.k").alias("k"), words.alias("words"))
+    label = F.when(F.col("windows") == 1, F.col("label")).otherwise(F.concat("label", F.lit("#"), (F.col("k") + 1).cast("string")))
+    return units.select("work_id", F.col("unit_pos").cast("int").alias("unit_pos"), label.alias("label"), F.array_join("words", " ").alias("text"))
 
 
 def tokenised(units: DataFrame, most: int = UNIT_TOKENS) -> DataFrame:
@@ -76,7 +106,5 @@ def tokenised(units: DataFrame, most: int = UNIT_TOKENS) -> DataFrame:
 
 
 def build_units(segments: DataFrame, group_by: str = "page", apparatus: bool = True) -> DataFrame:
-    """(work_id, label, text, unit_pos, orig, norm)."""
-    pages = page_texts(segments, group_by, apparatus)
-    cut = windows(pages) if group_by == "page" else windows(pages)
-    return tokenised(numbered(cut))
+    """(work_id, unit_pos, label, text, orig, norm), those beyond the limit of a work included."""
+    return tokenised(window_units(segments, group_by, apparatus))

@@ -7,6 +7,8 @@ lower-cased ('unknown' for none), references trimmed and NaN scores as null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,7 @@ SQL: dict[str, str] = _SQL
 QUERIES: dict[str, Query] = {}
 PAIR = ["work_i", "work_j", "i", "j"]
 RULES = verdicts.Rules(fp_chain_below=8, fp_score_below=0.01, verify=verdicts.package_names(["1", "2"]), verify_chain=10, verify_score=0.05)
-_SWEEPS: dict[tuple[str, str], sweeps.Sweep] = {}
-_RECORDS: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[str, Any] = {}
 
 
 def query(f: Query) -> Query:
@@ -50,20 +51,43 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"era_i": era("i"), "era_j": era("j"), "ref_i": F.trim("ref_i"), "ref_j": F.trim("ref_j"), "score": F.when(~F.isnan("score"), F.col("score"))})
 
 
+def state(spark: SparkSession, sf: str) -> str:
+    """The session, the folder, and path, size and time of every file of the tables that a sweep reads: it changes when a table is written anew."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [spark.sparkContext.applicationId, sf]
+    for table in ("plato_respublica_598", "works"):
+        path = hadoop(f"{sf}/{table}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
+def forget() -> None:
+    """Drop the tables of the sweep that is kept, so that the next query makes its own."""
+    for scratch in _KEPT.pop("scratch", []):
+        scratch.clear()
+    _KEPT.clear()
+
+
 def swept(spark: SparkSession, sf: str) -> sweeps.Sweep:
-    """The sweep's tables, made once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SWEEPS:
-        _SWEEPS[key] = sweeps.prepare(segments(spark, sf), read(spark, sf, "works"))
-    return _SWEEPS[key]
+    """The sweep's tables. The last one made is kept for the queries that start from it, as long as its input tables are the same; the tables of the one before are removed."""
+    key = state(spark, sf)
+    if _KEPT.get("key") != key:
+        forget()
+        _KEPT["key"], _KEPT["sweep"] = key, sweeps.prepare(segments(spark, sf), read(spark, sf, "works"))
+        _KEPT["scratch"] = [_KEPT["sweep"].scratch]
+    return _KEPT["sweep"]
 
 
 def found_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The sweep's records with match_id in the order of works and units, made once. They are a report: one row a matching pair of windows."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RECORDS:
+    """The sweep's records with match_id in the order of works and units, kept with the sweep. They are a report: one row a matching pair of windows."""
+    sweep = swept(spark, sf)
+    if "records" not in _KEPT:
         scratch = Scratch(spark, "records")
-        rows = scratch.put(sweeps.records(swept(spark, sf)))
+        _KEPT["scratch"].append(scratch)
+        rows = scratch.put(sweeps.records(sweep))
         sorted_ = rows.repartitionByRange(*PAIR).sortWithinPartitions(*PAIR)
         # numbered by partition: sizes of the partitions before, then the place inside
         from pyspark.sql import Window
@@ -74,8 +98,8 @@ def found_records(spark: SparkSession, sf: str) -> DataFrame:
         before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
         offsets = sizes.select("part", before.alias("offset"))
         numbered = placed.withColumn("n", inside).join(F.broadcast(offsets), "part").withColumn("match_id", F.col("n") + F.col("offset")).drop("part", "n", "offset")
-        _RECORDS[key] = scratch.put(numbered)
-    return _RECORDS[key]
+        _KEPT["records"] = scratch.put(numbered)
+    return _KEPT["records"]
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,12 +129,12 @@ def clean_text_(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def window_units(spark: SparkSession, sf: str) -> DataFrame:
-    return units.numbered(units.windows(units.page_texts(segments(spark, sf)))).select("work_id", "unit_pos", "label", "text")
+    return units.window_units(segments(spark, sf))
 
 
 @query
 def segment_units(spark: SparkSession, sf: str) -> DataFrame:
-    return units.page_texts(segments(spark, sf), "segment").select("work_id", F.col("pos").alias("seg_pos"), "label", "text")
+    return units.segment_texts(segments(spark, sf)).select("work_id", F.col("pos").alias("seg_pos"), "label", "text")
 
 
 @query
@@ -178,6 +202,19 @@ def candidates_v2(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.candidates(s.units, s.works, Params())
 
 
+@query
+def candidates_v1_low(spark: SparkSession, sf: str) -> DataFrame:
+    """With a cap that these works meet, so that the two rules differ."""
+    s = swept(spark, sf)
+    return retrieval.candidates(s.units, s.works, Params(mode="v1", cap_floor=1, min_shared=1))
+
+
+@query
+def candidates_v2_low(spark: SparkSession, sf: str) -> DataFrame:
+    s = swept(spark, sf)
+    return retrieval.candidates(s.units, s.works, Params(cap_floor=1, min_shared=1))
+
+
 @query
 def candidates_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_candidates(swept(spark, sf).found, 2)
@@ -186,7 +223,7 @@ def candidates_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def candidate_meta(spark: SparkSession, sf: str) -> DataFrame:
     s = swept(spark, sf)
-    return retrieval.candidate_meta(s.found, s.units, 2)
+    return retrieval.candidate_meta(s.found, s.units, s.params.max_candidates)
 
 
 @query
@@ -210,7 +247,7 @@ def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cosine_call(spark: SparkSession, sf: str) -> DataFrame:
     s = swept(spark, sf)
-    call = sweeps.Sweep(s.works, s.units, s.found, s.candidates, Params(idf_scope="call"))
+    call = replace(s, params=Params(idf_scope="call"))
     return sweeps.scored(call).select(*PAIR, F.round("score", 6).alias("score"))
 
 
@@ -273,6 +310,14 @@ def pair_events(spark: SparkSession, sf: str) -> DataFrame:
     return align.pair_events(s.candidates.select(*PAIR), s.units, s.params)
 
 
+@query
+def event_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The word maps of the events, a row for each word."""
+    rows = pair_events(spark, sf)
+    side = lambda s: rows.select(*PAIR, F.lit(s).alias("side"), F.explode(f"matched_{s}").alias("word", "block"))
+    return side("i").unionByName(side("j"))
+
+
 @query
 def match_records(spark: SparkSession, sf: str) -> DataFrame:
     return found_records(spark, sf).drop("lo_i", "hi_i", "lo_j", "hi_j", "title_i", "title_j")
@@ -307,6 +352,23 @@ def passage_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return passages.neighbours(found_records(spark, sf))
 
 
+def _ranged_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the table as if their ranges began at the first word of their window."""
+    n = F.coalesce("matched_words", F.lit(0))
+    one = F.lit(1)
+    return records(spark, sf).filter((F.col("ref_i") != "") & (F.col("ref_j") != "")).withColumns({"lo_i": one, "hi_i": n, "lo_j": one, "hi_j": n})
+
+
+@query
+def table_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.clusters(_ranged_records(spark, sf))
+
+
+@query
+def table_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.neighbours(_ranged_records(spark, sf))
+
+
 # commonplaces ---------------------------------------------------------------------------------
 
 
@@ -449,7 +511,8 @@ def saturation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def author_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return numbers.with_authors(records(spark, sf), read(spark, sf, "works")).select("match_id", "author_i", "author_j")
+    rows = records(spark, sf)
+    return numbers.with_authors(rows, numbers.names_of_works(rows)).select("match_id", "author_i", "author_j", "title_i", "title_j")
 
 
 @query

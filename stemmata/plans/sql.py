@@ -59,16 +59,16 @@ CLEANED = f"{SEG}, cl0 AS (SELECT work_id, seg_pos, ref, coalesce(chapter, '') A
 PAGES = f"{CLEANED}, pages AS (SELECT * FROM (SELECT work_id, min(seg_pos) AS pos, trim(ch || '/' || pg) AS label, trim(string_agg(t, ' ' ORDER BY seg_pos)) AS text FROM cl GROUP BY work_id, ch, pg) WHERE text <> '')"
 WINDOWS = f"""{PAGES}, sp AS (SELECT *, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> '') AS words FROM pages),
 wk AS (SELECT *, unnest(range(0, CASE WHEN len(words) <= 140 THEN 1 ELSE cast(ceil((len(words) - 140) / 115.0) AS int) + 1 END)) AS k FROM sp),
-win AS (SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY pos, k) - 1 AS unit_pos, CASE WHEN len(words) <= 140 THEN label ELSE label || '#' || (k + 1) END AS label, CASE WHEN len(words) <= 140 THEN text ELSE array_to_string(words[k * 115 + 1:k * 115 + 140], ' ') END AS text FROM wk)"""
+win AS (SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY pos, k) - 1 AS unit_pos, CASE WHEN len(words) <= 140 THEN label ELSE label || '#' || (k + 1) END AS label, array_to_string(words[k * 115 + 1:k * 115 + 140], ' ') AS text FROM wk)"""
 UNITS = f"{WINDOWS}, un0 AS (SELECT work_id, unit_pos, label, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')[1:400] AS orig FROM win), un AS (SELECT *, list_transform(orig, lambda w: {norm('w')}) AS norm FROM un0)"
 _RANK = "CASE era WHEN 'ancient_classical' THEN 0 WHEN '7th_8th' THEN 1 WHEN '9th_10th' THEN 2 WHEN '11th_12th' THEN 3 ELSE 9 END"
 WORKS = f"wo AS (SELECT *, row_number() OVER (ORDER BY era_rank, work_id) - 1 AS ord FROM (SELECT work_id, era, author, title_latin AS title, {_RANK} AS era_rank FROM works WHERE work_id IN (SELECT work_id FROM seg0)))".replace("seg0", "plato_respublica_598")
 GRAMS = f"{UNITS}, {WORKS}, bg AS (SELECT DISTINCT work_id, unit_pos, unnest(list_transform(range(1, len(norm)), lambda x: {{'g1': norm[x], 'g2': norm[x + 1]}})) AS g FROM un), caps AS (SELECT work_id, greatest(40, count(*) // 25) AS cap FROM un GROUP BY work_id), bdf AS (SELECT work_id, g, count(*) AS df, any_value(cap) AS cap FROM bg JOIN caps USING (work_id) GROUP BY work_id, g)"
 
 
-def candidates(keep: str) -> str:
-    return f"""{GRAMS}, hits AS (SELECT a.work_id AS work_i, b.work_id AS work_j, a.unit_pos AS i, b.unit_pos AS j, count(*) AS shared FROM bg a JOIN bg b ON a.g = b.g JOIN wo x ON x.work_id = a.work_id JOIN wo y ON y.work_id = b.work_id AND x.ord < y.ord
-  JOIN bdf da ON da.work_id = a.work_id AND da.g = a.g JOIN bdf db ON db.work_id = b.work_id AND db.g = b.g WHERE {keep} GROUP BY ALL HAVING count(*) >= 3)"""
+def candidates(keep: str, floor: int = 40, shared: int = 3) -> str:
+    return f"""{GRAMS.replace("greatest(40,", f"greatest({floor},")}, hits AS (SELECT a.work_id AS work_i, b.work_id AS work_j, a.unit_pos AS i, b.unit_pos AS j, count(*) AS shared FROM bg a JOIN bg b ON a.g = b.g JOIN wo x ON x.work_id = a.work_id JOIN wo y ON y.work_id = b.work_id AND x.ord < y.ord
+  JOIN bdf da ON da.work_id = a.work_id AND da.g = a.g JOIN bdf db ON db.work_id = b.work_id AND db.g = b.g WHERE {keep} GROUP BY ALL HAVING count(*) >= {shared})"""
 
 
 V2 = "NOT (da.df > da.cap AND db.df > db.cap)"
@@ -142,6 +142,9 @@ def _clipped(t: str, n: int) -> str:
 
 
 RECORD_COLUMNS = "match_id, work_i, work_j, i, j, n_blocks, n_chained, chain_len, matched_words, matched_words_j, word_range_i, word_range_j, snippet_i, snippet_j, score, ref_i, ref_j, era_i, era_j, author_i, author_j"
+_TABLE_PLACED = f"""{M}, rec AS (SELECT match_id, work_i, ref_i, work_j, ref_j, chain_len, 1 AS lo_i, coalesce(matched_words, 0) AS hi_i, 1 AS lo_j, coalesce(matched_words, 0) AS hi_j FROM m WHERE ref_i <> '' AND ref_j <> '')""" + PLACED[len(RECORDS):]
+_TAIL_GREEK = "αβγδεζηθικλμνξοπρςστυφχψωίϊϋόύώάέή"
+_HEADING_SQL = r"\s+[0-9]+\s+(?:ante|cf|Vgl|vgl)|\s+(?:Drei|Zwei|Ein)\s+Exkurse"
 _PCT = "(rank() OVER (PARTITION BY work_i, work_j ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY work_i, work_j, score) - 1) / 2.0) / count(score) OVER (PARTITION BY work_i, work_j)"
 
 SQL: dict[str, str] = {
@@ -154,8 +157,10 @@ SQL: dict[str, str] = {
     "bigram_df": f"WITH {GRAMS} SELECT work_id, g.g1 AS g1, g.g2 AS g2, df, cap FROM bdf",
     "candidates_v1": f"WITH {candidates('NOT (db.df > db.cap)')} SELECT * FROM hits",
     "candidates_v2": f"WITH {CANDIDATES} SELECT * FROM hits",
+    "candidates_v1_low": f"WITH {candidates('NOT (db.df > db.cap)', 1, 1)} SELECT * FROM hits",
+    "candidates_v2_low": f"WITH {candidates(V2, 1, 1)} SELECT * FROM hits",
     "candidates_topk": f"WITH {TOP} SELECT work_i, work_j, i, j, shared, rank FROM top WHERE rank <= 2",
-    "candidate_meta": f"WITH {CANDIDATES}, n AS (SELECT work_id, count(*) AS n FROM un GROUP BY work_id) SELECT work_i, work_j, any_value(a.n) * any_value(b.n) AS pairs_total, count(*) AS before_cap, least(count(*), 2) AS after_cap, count(*) > 2 AS cap_hit FROM hits JOIN n a ON a.work_id = work_i JOIN n b ON b.work_id = work_j GROUP BY work_i, work_j",
+    "candidate_meta": f"WITH {CANDIDATES}, n AS (SELECT work_id, count(*) AS n FROM un GROUP BY work_id) SELECT work_i, work_j, any_value(a.n) * any_value(b.n) AS pairs_total, count(*) AS before_cap, least(count(*), 4000) AS after_cap, count(*) > 4000 AS cap_hit FROM hits JOIN n a ON a.work_id = work_i JOIN n b ON b.work_id = work_j GROUP BY work_i, work_j",
     "leave_out_grams": f"WITH {LNO} SELECT work_id, unit_pos, array_to_string(gram, ' ') AS gram, c FROM gr",
     "idf_corpus": f"WITH {LNO} SELECT array_to_string(gram, ' ') AS gram, df, round(idf, 6) AS idf FROM idf",
     "cosine_scores": f"WITH {SCORES} SELECT work_i, work_j, i, j, round(score, 6) AS score FROM sc",
@@ -175,7 +180,7 @@ fz AS (SELECT *, round(100 * (1 - levenshtein({one_byte('a')}, {one_byte('b')})
 SELECT work_i, work_j, i, j, 'i' AS side, g0 AS word, arg_max(fuzz, block) AS fuzz FROM fz GROUP BY ALL UNION ALL SELECT work_i, work_j, i, j, 'j', g0 + d, arg_max(fuzz, block) FROM fz GROUP BY ALL""",
     "match_records": f"WITH {RECORDS} SELECT {RECORD_COLUMNS} FROM rec",
     "sweep_diagnostics": f"""WITH {CANDIDATES}, n AS (SELECT work_id, count(*) AS n FROM un GROUP BY work_id), me AS (SELECT work_i, work_j, count(*) AS before_cap FROM hits GROUP BY work_i, work_j)
-SELECT (SELECT count(*) FROM wo) AS works, (SELECT count(*) * (count(*) - 1) // 2 FROM wo) AS work_pairs, (SELECT count(*) FROM un) AS units, (SELECT count(*) FROM win WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) > 400) AS units_truncated,
+SELECT (SELECT count(*) FROM wo) AS works, (SELECT count(*) * (count(*) - 1) // 2 FROM wo) AS work_pairs, (SELECT count(*) FROM un) AS units, (SELECT count(*) FROM win WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) > 400) AS units_truncated, (SELECT count(*) FROM un WHERE unit_pos >= 20000) AS units_dropped,
 count(*) AS pairs_with_candidates, coalesce(sum(before_cap), 0)::BIGINT AS before_cap, coalesce(sum(least(before_cap, 4000)), 0)::BIGINT AS after_cap, count(*) FILTER (WHERE before_cap > 4000) AS pairs_at_cap, arg_max(work_i || ' ' || work_j, (before_cap, work_i, work_j)) AS worst_pair, 'corpus' AS idf_scope, false AS trained FROM me""",
     "record_gaps": rf"""WITH {RECORDS}, c AS (SELECT *, replace(array_to_string(list_filter(regexp_split_to_array(snippet_i, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS ti, replace(array_to_string(list_filter(regexp_split_to_array(snippet_j, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS tj FROM rec),
 k AS (SELECT *, {_clipped('ti', 120)} AS ci, {_clipped('tj', 120)} AS cj FROM c)
@@ -191,6 +196,26 @@ length(printf('%s | %s %s ↔ %s %s | chain %d, score %.4f | %s ↔ %s', match_i
 nb AS (SELECT c.work_i, c.unit_i, c.work_j, c.unit_j, c.cluster, l.match_id, l.chain_len, greatest(0, greatest(l.i_lo - c.i_hi, c.i_lo - l.i_hi) - 1) AS between FROM sz c JOIN sz l USING (work_i, unit_i, work_j, unit_j) WHERE c.size > 1 AND l.size = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY work_i, unit_i, work_j, unit_j, cluster ORDER BY between, chain_len DESC, match_id) AS rank FROM nb)
 SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, match_id, between, rank FROM rk WHERE rank <= 6""",
+    "table_neighbours": f"""WITH {_TABLE_PLACED}, sz AS (SELECT work_i, unit_i, work_j, unit_j, cluster, count(*) AS size, min(lo_i) AS i_lo, max(hi_i) AS i_hi, any_value(match_id) AS match_id, any_value(chain_len) AS chain_len FROM cs GROUP BY 1, 2, 3, 4, 5),
+nb AS (SELECT c.work_i, c.unit_i, c.work_j, c.unit_j, c.cluster, l.match_id, l.chain_len, greatest(0, greatest(l.i_lo - c.i_hi, c.i_lo - l.i_hi) - 1) AS between FROM sz c JOIN sz l USING (work_i, unit_i, work_j, unit_j) WHERE c.size > 1 AND l.size = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY work_i, unit_i, work_j, unit_j, cluster ORDER BY between, chain_len DESC NULLS LAST, match_id) AS rank FROM nb)
+SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, match_id, between, rank FROM rk WHERE rank <= 6""",
+    "table_clusters": f"WITH {_TABLE_PLACED} SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, count(*) AS size, min(lo_i) AS i_lo, max(hi_i) AS i_hi, min(lo_j) AS j_lo, max(hi_j) AS j_hi FROM cs GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1",
+    "event_blocks": f"WITH {CELLS} SELECT work_i, work_j, i, j, 'i' AS side, wi AS word, max(block) AS block FROM rn JOIN kept USING (work_i, work_j, i, j, d, blk) GROUP BY ALL UNION ALL SELECT work_i, work_j, i, j, 'j', wj, max(block) FROM rn JOIN kept USING (work_i, work_j, i, j, d, blk) GROUP BY ALL",
+    "folio_segments": rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, 'f[ \t\n\x0b\f\r]+([0-9]+[rv]+)\b', 1) AS marks, regexp_split_to_array(text, 'f[ \t\n\x0b\f\r]+[0-9]+[rv]+\b') AS parts FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, marks, unnest(range(0, len(parts)))::INT AS pos, unnest(parts) AS part FROM p)
+SELECT doc_id, pos, CASE WHEN len(marks) = 0 THEN '' WHEN pos = 0 THEN 'prefatio' ELSE marks[pos] END AS page, {_squeeze('part')} AS text FROM r WHERE {_squeeze('part')} <> ''""",
+    "tail_trim": rf"""WITH d AS (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(text, k * 100 + 1, 500) AS t FROM (SELECT doc_id, text, unnest(range(0, (greatest(n - 500, 0) + 99) // 100)) AS k FROM d)),
+s AS (SELECT doc_id, k, length(regexp_replace(t, '[^{_TAIL_GREEK}]', '', 'g')) AS g, length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS l FROM w),
+m AS (SELECT doc_id, k, avg(g / (g + l + 1)::DOUBLE) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 0.2 AS low FROM s),
+i AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM m WHERE low),
+c AS (SELECT doc_id, min(k) AS k FROM (SELECT doc_id, min(k) AS k, count(*) AS n FROM i GROUP BY doc_id, island) WHERE n * 100 >= 3000 GROUP BY doc_id),
+a AS (SELECT doc_id, text, n, k * 100 AS cut FROM d LEFT JOIN c USING (doc_id)),
+e AS (SELECT *, length(regexp_extract(text[1:cut], '(?s)^.*[·.;]')) AS fin FROM a),
+f AS (SELECT *, CASE WHEN fin - 1 > cut - 1500 THEN fin ELSE cut END AS c1 FROM e),
+h AS (SELECT *, CASE WHEN regexp_matches(text[1:c1], '{_HEADING_SQL}') THEN length(regexp_extract(text[1:c1], '(?s)^(.*?)(?:{_HEADING_SQL})', 1)) END AS head FROM f)
+SELECT doc_id, n::INT AS length, CASE WHEN cut IS NULL THEN n ELSE length(regexp_replace(text[1:CASE WHEN head > c1 - 1500 THEN head ELSE c1 END], '{SPACE}$', '')) END::INT AS cut FROM h""",
     "wp1": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('7th_8th')} AND chain_len >= 6",
     "wp2": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('9th_10th')} AND chain_len >= 6 AND score >= 0.001",
     "wp3": f"WITH {BASE} SELECT match_id, work_i, work_j, chain_len, score FROM ba WHERE {_pair('11th_12th')} AND chain_len >= 8 AND score >= 0.01",
@@ -220,7 +245,7 @@ SELECT wp_key, match_id, coalesce(given, status) AS status FROM ru LEFT JOIN (SE
     "reference_parts": f"WITH {M} SELECT match_id, split_part(ref_i, '#', 1) AS page_i, {_unit('i')} AS unit_i, {_abs('i')} AS base_i FROM m WHERE ref_i IS NOT NULL",
     "clipped_snippets": f"""WITH {M}, t AS (SELECT match_id, replace(array_to_string(list_filter(regexp_split_to_array(snippet_i, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS t FROM m WHERE snippet_i IS NOT NULL)
 SELECT match_id, CASE WHEN length(t) <= 70 THEN t WHEN regexp_matches(t[1:70], '.+ [^ ]*$') THEN rtrim(regexp_extract(t[1:70], '^(.+) [^ ]*$', 1)) || ' …' WHEN strpos(t[71:], ' ') = 0 THEN t ELSE rtrim(t[1:70 + strpos(t[71:], ' ') - 1]) || ' …' END AS snippet FROM t""",
-    "author_lookup": "SELECT a.match_id, x.author AS author_i, y.author AS author_j FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY loaded_at DESC NULLS LAST, match_id DESC) AS rn FROM wp2_canon_clean) a LEFT JOIN works x ON x.work_id = a.work_i LEFT JOIN works y ON y.work_id = a.work_j WHERE rn = 1",
+    "author_lookup": "WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY loaded_at DESC NULLS LAST, match_id DESC) AS rn FROM wp2_canon_clean) WHERE rn = 1), s AS (SELECT work_i AS w, author_i AS a, title_i AS t, 2 * match_id AS p FROM r UNION ALL SELECT work_j, author_j, title_j, 2 * match_id + 1 FROM r), k AS (SELECT w, arg_max(a, p) FILTER (WHERE a <> '') AS a, arg_max(t, p) FILTER (WHERE t <> '') AS t FROM s GROUP BY w) SELECT r.match_id, x.a AS author_i, y.a AS author_j, x.t AS title_i, y.t AS title_j FROM r LEFT JOIN k x ON x.w = r.work_i LEFT JOIN k y ON y.w = r.work_j",
     "word_similarity": f"WITH {CELLS} SELECT DISTINCT least(a.w, b.w) AS a, greatest(a.w, b.w) AS b, round(1.0 - levenshtein({one_byte('a.w')}, {one_byte('b.w')}) / (length(a.w) + length(b.w))::DOUBLE, 9) AS ratio, {agree('a.w', 'b.w')} AS agree FROM ti a JOIN tj b USING (work_i, work_j, i, j)",
     "character_subwords": f"WITH {UNITS}, w AS (SELECT w, count(*) AS n FROM (SELECT unnest(norm) AS w FROM un) GROUP BY w), e AS (SELECT unnest(list_transform(range(1, length(w) + 1), lambda p: w[p] || CASE WHEN p = length(w) THEN '</w>' ELSE '' END)) AS sub, n FROM w) SELECT sub, sum(n)::BIGINT AS n FROM e GROUP BY sub",
     "stop_subwords": f"WITH {UNITS}, w AS (SELECT w, count(*) AS n FROM (SELECT unnest(norm) AS w FROM un) GROUP BY w) SELECT w[length(w)] || '</w>' AS sub, sum(n)::BIGINT AS n FROM w GROUP BY 1 ORDER BY n DESC, sub DESC LIMIT 50",

@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemmata.config import UNIT_TOKENS, Params
+from stemmata.config import UNIT_TOKENS, UNITS_PER_WORK, Params
 from stemmata.functions.text import raw_tokens
-from stemmata.operators import align, grams, retrieval
+from stemmata.operators import align, grams, retrieval, subwords
 from stemmata.operators.units import build_units, built_works
 from stemmata.scratch import Scratch
 
+PAIR = ["work_i", "work_j", "i", "j"]
+
 
 @dataclass
 class Sweep:
-    """Tables of a sweep, those used more than once written to the shared folder."""
+    """Tables of a sweep, those used more than once written to the shared folder. ``all_units`` holds those beyond the limit of a work too."""
 
     works: DataFrame
     units: DataFrame
     found: DataFrame
     candidates: DataFrame
     params: Params
+    scratch: Scratch
+    model: subwords.Model = field(default_factory=subwords.Model)
+    merges: int | None = None
+    all_units: DataFrame | None = None
 
 
-def compare(units: DataFrame, works: DataFrame, params: Params, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, meta) for all pairs of works in ``units``; ``index`` is an idf table of a larger corpus."""
-    params = params.checked()
-    sweep = Sweep(works, units, (f := retrieval.candidates(units, works, params)), retrieval.top_candidates(f, params.max_candidates), params)
-    return records(sweep, index), retrieval.candidate_meta(f, units, params.max_candidates)
+def of_units(units: DataFrame, works: DataFrame, params: Params | None = None, *, model: subwords.Model | None = None, merges: int | None = None, scratch: Scratch | None = None) -> Sweep:
+    """A sweep over units that are there already (``build_units``) and works with ``ord``."""
+    params = (params or Params()).checked()
+    scratch = scratch or Scratch(units.sparkSession, "sweep")
+    kept = units.filter(F.col("unit_pos") < UNITS_PER_WORK)
+    found = scratch.put(retrieval.candidates(kept, works, params))
+    return Sweep(works, kept, found, retrieval.top_candidates(found, params.max_candidates), params, scratch, model or subwords.Model(), merges, units)
 
 
-def prepare(segments: DataFrame, works: DataFrame, params: Params | None = None, *, only: list[str] | None = None, group_by: str = "page", apparatus: bool = True) -> Sweep:
-    """Units and candidates of all pairs of works."""
-    params = (params or Params()).checked()
-    scratch = Scratch(segments.sparkSession, "sweep")
+def prepare(segments: DataFrame, works: DataFrame, params: Params | None = None, *, only: list[str] | None = None, group_by: str = "page", apparatus: bool = True, model: subwords.Model | None = None, merges: int | None = None) -> Sweep:
+    """Units and candidates of all pairs of works; ``only`` keeps some works. ``model`` gives the subwords that are scored, its first ``merges`` merges if that is set."""
     have = built_works(works, segments, only)
     kept = segments.filter(F.col("work_id").isin(only)) if only else segments
+    scratch = Scratch(segments.sparkSession, "sweep")
     units = scratch.put(build_units(kept, group_by, apparatus))
-    found = scratch.put(retrieval.candidates(units, have, params))
-    return Sweep(have, units, found, retrieval.top_candidates(found, params.max_candidates), params)
+    return of_units(units, have, params, model=model, merges=merges, scratch=scratch)
+
+
+def gram_units(sweep: Sweep) -> tuple[DataFrame, str]:
+    """Units and the column whose grams are scored: subwords without the stop subwords where a model is trained, else words."""
+    if not sweep.model.trained and sweep.merges is None:
+        return sweep.units, "norm"
+    return subwords.encoded(sweep.units, sweep.model, sweep.merges), "subs"
 
 
 def index_of(sweep: Sweep) -> tuple[DataFrame, DataFrame]:
     """(gram keys of every unit, idf table over the whole corpus)."""
-    counted = grams.gram_keys(sweep.units, sweep.params)
+    units, column = gram_units(sweep)
+    counted = grams.gram_keys(units, sweep.params, column)
     n = sweep.units.count()
     return counted, grams.idf(counted, n, ["ka", "kb"])
 
@@ -62,27 +76,88 @@ def scored(sweep: Sweep, index: DataFrame | None = None) -> DataFrame:
 
 
 def records(sweep: Sweep, index: DataFrame | None = None) -> DataFrame:
-    """Match records: ids, eras, authors and titles of both works, score to four places, ranges, counts and snippets."""
-    with_score = scored(sweep, index)
-    found = align.match_records(with_score.select("work_i", "work_j", "i", "j"), sweep.units, sweep.params)
-    scores = with_score.select("work_i", "work_j", "i", "j", F.round("score", 4).alias("score"))
+    """Match records: ids, eras, authors and titles of both works, score to four places, ranges, counts and snippets.
+
+    Scores are worked out once. Without a gate the alignment does not wait for them: they are joined to the records, which are fewer than the candidates.
+    """
+    with_score = sweep.scratch.put(scored(sweep, index).select(*PAIR, F.round("score", 4).alias("score")))
+    aligned = sweep.candidates if sweep.params.similarity is None else with_score
+    found = align.match_records(aligned.select(*PAIR), sweep.units, sweep.params)
     side = lambda s: sweep.works.select(F.col("work_id").alias(f"work_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("era", "author", "title")])
     ref = lambda s: sweep.units.select(F.col("work_id").alias(f"work_{s}"), F.col("unit_pos").alias(s), F.col("label").alias(f"ref_{s}"))
-    full = found.join(scores, ["work_i", "work_j", "i", "j"]).join(ref("i"), ["work_i", "i"]).join(ref("j"), ["work_j", "j"])
+    full = found.join(with_score, PAIR).join(ref("i"), ["work_i", "i"]).join(ref("j"), ["work_j", "j"])
     return full.join(side("i"), "work_i").join(side("j"), "work_j")
 
 
-def diagnostics(sweep: Sweep, trained: bool = False) -> DataFrame:
-    """One row about a run: works, pairs of works, units, units cut at the token limit, candidates before and after the cap, pairs at the cap, the pair with most
+def sorted_records(rows: DataFrame) -> DataFrame:
+    """Longest chain first; equal ones in the order of their works and units."""
+    return rows.orderBy(F.col("chain_len").desc(), *PAIR)
+
+
+def meta(sweep: Sweep, index: DataFrame | None = None) -> DataFrame:
+    """(work_i, work_j, pairs_total, before_cap, after_cap, cap_hit, mean, threshold, vocab_size) per pair of works with candidates: the candidate counts, mean and suggested threshold of their scores, and
+    the number of different grams, of the whole corpus or of an ``index``, or of the two works where scores are of call scope."""
+    counted, own = index_of(sweep)
+    base = retrieval.candidate_meta(sweep.found, sweep.units, sweep.params.max_candidates)
+    scores = grams.auto_threshold(scored(sweep, index), ["work_i", "work_j"]).select("work_i", "work_j", "mean", "threshold")
+    out = base.join(scores, ["work_i", "work_j"], "left")
+    if sweep.params.idf_scope == "call" and index is None:
+        by_work = sweep.scratch.put(counted.select("work_id", "ka", "kb").distinct())
+        size = by_work.groupBy("work_id").agg(F.count("*").alias("n"))
+        pair = base.select("work_i", "work_j")
+        one = pair.join(by_work.select(F.col("work_id").alias("work_i"), "ka", "kb"), "work_i")
+        both = one.join(by_work.select(F.col("work_id").alias("work_j"), "ka", "kb"), ["work_j", "ka", "kb"]).groupBy("work_i", "work_j").agg(F.count("*").alias("both"))
+        n = lambda s: size.select(F.col("work_id").alias(f"work_{s}"), F.col("n").alias(f"n_{s}"))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        sized = pair.join(n("i"), "work_i", "left").join(n("j"), "work_j", "left").join(both, ["work_i", "work_j"], "left").select("work_i", "work_j", (zero("n_i") + zero("n_j") - zero("both")).alias("vocab_size"))
+        return out.join(sized, ["work_i", "work_j"])
+    size = (index if index is not None else own).count()
+    return out.withColumn("vocab_size", F.lit(size).cast("bigint"))
+
+
+def compare(units: DataFrame, works: DataFrame, params: Params | None = None, *, index: DataFrame | None = None, model: subwords.Model | None = None, merges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, meta) for all pairs of works in ``units``, the records longest chain first; ``index`` is an idf table of a larger corpus (ka, kb, idf)."""
+    sweep = of_units(units, works, params, model=model, merges=merges)
+    return sorted_records(records(sweep, index)), meta(sweep, index)
+
+
+def compare_iter(units: DataFrame, works: DataFrame, params: Params | None = None, *, index: DataFrame | None = None, model: subwords.Model | None = None, merges: int | None = None) -> DataFrame:
+    """The events of ``compare``, unordered: ranges, counts and, per side, which word belongs to which block and which words bridge gaps, with the score."""
+    sweep = of_units(units, works, params, model=model, merges=merges)
+    with_score = sweep.scratch.put(scored(sweep, index).select(*PAIR, "score"))
+    pairs = sweep.candidates if sweep.params.similarity is None else with_score
+    return align.pair_events(pairs.select(*PAIR), sweep.units, sweep.params).join(with_score, PAIR)
+
+
+def diagnostics(sweep: Sweep, trained: bool | None = None) -> DataFrame:
+    """One row about a run: works, pairs of works, units, units cut at the token limit, units dropped beyond the limit of a work, candidates before and after the cap, pairs at the cap, the pair with most
     candidates, scope of the scores, and whether a subword model was there. A run without candidates has nulls for the worst pair."""
     p = sweep.params
-    meta = retrieval.candidate_meta(sweep.found, sweep.units, p.max_candidates)
+    meta_ = retrieval.candidate_meta(sweep.found, sweep.units, p.max_candidates)
     tokens = F.size(raw_tokens(F.col("text")))
     n = sweep.works.agg(F.count("*").alias("works")).withColumn("work_pairs", F.expr("works * (works - 1) div 2"))
     u = sweep.units.agg(F.count("*").alias("units"), F.count_if(tokens > UNIT_TOKENS).alias("units_truncated"))
+    every = sweep.all_units if sweep.all_units is not None else sweep.units
+    d = every.agg(F.count_if(F.col("unit_pos") >= UNITS_PER_WORK).alias("units_dropped"))
     worst = F.max_by(F.concat_ws(" ", "work_i", "work_j"), F.struct("before_cap", "work_i", "work_j"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    c = meta.agg(F.count("*").alias("pairs_with_candidates"), total("before_cap").alias("before_cap"), total("after_cap").alias("after_cap"), F.count_if("cap_hit").alias("pairs_at_cap"), worst.alias("worst_pair"))
+    c = meta_.agg(F.count("*").alias("pairs_with_candidates"), total("before_cap").alias("before_cap"), total("after_cap").alias("after_cap"), F.count_if("cap_hit").alias("pairs_at_cap"), worst.alias("worst_pair"))
     one = F.lit(1).alias("k")  # each side is one row
-    joined = n.withColumn("k", one).join(u.withColumn("k", one), "k").join(c.withColumn("k", one), "k").drop("k")
-    return joined.withColumns({"idf_scope": F.lit(p.idf_scope), "trained": F.lit(trained)})
+    joined = n.withColumn("k", one).join(u.withColumn("k", one), "k").join(d.withColumn("k", one), "k").join(c.withColumn("k", one), "k").drop("k")
+    return joined.withColumns({"idf_scope": F.lit(p.idf_scope), "trained": F.lit(sweep.model.trained if trained is None else trained)})
+
+
+def warnings(row: dict[str, object], params: Params) -> list[str]:
+    """What a reader of a run must know, from its diagnostics: parameters that were moved, units cut or dropped, pairs at the cap, scores that do not compare, no model."""
+    out = [f"parameter {name} was moved into its range from {value}" for name, value in params.clamped.items()]
+    if row.get("units_truncated"):
+        out.append(f"{row['units_truncated']} units have more than {UNIT_TOKENS} words and were cut")
+    if row.get("units_dropped"):
+        out.append(f"{row['units_dropped']} units stand beyond the limit of {UNITS_PER_WORK} a work and were dropped")
+    if row.get("pairs_at_cap"):
+        out.append(f"{row['pairs_at_cap']} pairs of works have more than {params.max_candidates} candidates, the worst {row['worst_pair']}; the rest was not compared")
+    if row.get("idf_scope") == "call":
+        out.append("scores are of call scope and compare inside a pair of works only")
+    if not row.get("trained"):
+        out.append("no subword model: words are scored")
+    return out

@@ -1,13 +1,14 @@
 """Tables written in the middle of a job, to cut lineage or to be read more than once.
 
 They live in the folder that the session names in ``spark.checkpoint.dir``, which every executor
-shares, so a lost executor loses nothing. Only where that setting is absent (tests, a laptop) is a
-folder of our own used.
+shares, so a lost executor loses nothing. Only where that setting is absent and all work is done by one process (tests, a laptop) is a
+folder of our own used; on a cluster without the setting nothing is written, since each executor would write to its own disk.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ _OWN: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; falls back to one temporary folder per process where none is configured."""
+    """The shared folder; where none is configured, one temporary folder per process in local mode, and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="stemmata-"))
     return _OWN[0]
@@ -57,6 +60,11 @@ class Scratch:
         back._stemmata_keep = self  # the id above stays valid while the table is in use
         return back
 
+    def clear(self) -> None:
+        """Remove all tables of the family."""
+        self.paths.clear()
+        _delete(self.spark, self.base)
+
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:

@@ -37,11 +37,13 @@ def packages(df: DataFrame, folder: str) -> None:
 
 
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small table for readers; every row has as many cells as the head, null is '–'. ``df`` is a report, ordered and limited by its query."""
-    rows = df.limit(most).collect()
+    """A small table for readers; every row has as many cells as the head, null is '–'. ``df`` is a report, ordered and limited by its query; of a longer one the table says that it is cut."""
+    rows = df.limit(most + 1).collect()
+    rest = ["", f"Only the first {most} rows are shown."] if len(rows) > most else []
+    rows = rows[:most]
     cell = lambda v: "–" if v is None else str(v).replace("|", "/").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows] + rest) + "\n"
 
 
 def run_meta(path: str, params: Params, diagnostics: dict[str, object], works: list[dict[str, object]], hashes: dict[str, str]) -> None:
