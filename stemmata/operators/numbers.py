@@ -94,13 +94,11 @@ def era_pair_top(records: DataFrame, least_chain: int = 6, n: int = 10) -> DataF
 
 def leaders(records: DataFrame) -> DataFrame:
     """(kind, match_id, value): the first record by chain, by matched words, by score; the least match_id among equals."""
-    out = None
-    for kind in ("chain_len", "matched_words", "score"):
-        v = F.when(~F.isnan(kind), F.col(kind)) if kind == "score" else F.col(kind)
-        best = records.filter(v.isNotNull()).agg(F.max_by("match_id", F.struct(v, -F.col("match_id"))).alias("match_id"), F.max(v).cast("double").alias("value"))
-        one = best.filter(F.col("match_id").isNotNull()).select(F.lit(kind).alias("kind"), "match_id", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    kinds = ("chain_len", "matched_words", "score")
+    value = lambda k: F.when(~F.isnan(k), F.col(k)) if k == "score" else F.col(k)
+    aggs = [F.struct(F.lit(k).alias("kind"), F.max_by("match_id", F.when(value(k).isNotNull(), F.struct(value(k), -F.col("match_id")))).alias("match_id"), F.max(value(k)).cast("double").alias("value")).alias(k) for k in kinds]
+    spread = records.agg(*aggs).select(F.explode(F.array(*kinds)).alias("x")).select("x.*")  # one pass for all three
+    return spread.filter(F.col("match_id").isNotNull())
 
 
 def report_split(records: DataFrame, least_chain: int = 6) -> DataFrame:

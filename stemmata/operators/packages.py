@@ -69,16 +69,14 @@ def all_packages(records: DataFrame, mode: str = "none", share: float = 0.25) ->
 
 def package_report(records: DataFrame) -> DataFrame:
     """(wp_key, n_era, n_wp, pct, best_score, longest): how many base records an era pair has and how many the package keeps."""
-    rows = base(records)
-    out = None
+    aggs = []
     for p in PACKAGES:
         inside = era_pair(p.era_a, p.era_b)
         ok = inside & (F.col("chain_len") >= p.least_chain)
         score = F.when(ok & ~F.isnan("score"), F.col("score"))
-        one = rows.agg(F.count_if(inside).alias("n_era"), F.count_if(ok).alias("n_wp"), F.max(score).alias("best_score"), F.max(F.when(ok, F.col("chain_len"))).alias("longest"))
-        one = one.select(F.lit(p.name).alias("wp_key"), "n_era", "n_wp", F.when(F.col("n_era") > 0, 100.0 * F.col("n_wp") / F.col("n_era")).alias("pct"), "best_score", "longest")
-        out = one if out is None else out.unionByName(one)
-    return out
+        aggs.append(F.struct(F.lit(p.name).alias("wp_key"), F.count_if(inside).alias("n_era"), F.count_if(ok).alias("n_wp"), F.max(score).alias("best_score"), F.max(F.when(ok, F.col("chain_len"))).alias("longest")).alias(p.name))
+    spread = base(records).agg(*aggs).select(F.explode(F.array(*[p.name for p in PACKAGES])).alias("x")).select("x.*")  # one pass for all packages
+    return spread.select("wp_key", "n_era", "n_wp", F.when(F.col("n_era") > 0, 100.0 * F.col("n_wp") / F.col("n_era")).alias("pct"), "best_score", "longest")
 
 
 def longest(rows: DataFrame, n: int = 3, by: list[str] | None = None) -> DataFrame:

@@ -50,6 +50,12 @@ def decided(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     return records.join(last, "rel_id", "left").withColumn("status", F.coalesce("given", "status")).drop("given")
 
 
+def export(records: DataFrame) -> DataFrame:
+    """(rel_id, status): one row per record; a record of several packages counts once, with the status of the first package by name. Records without rel_id are left out."""
+    rows = records.filter(F.col("rel_id").isNotNull())
+    return rows.groupBy("rel_id").agg(F.min_by("status", "wp_key").alias("status"))
+
+
 def chain_bucket() -> Column:
     c = F.coalesce("chain_len", F.lit(0))
     return F.when(c < 6, "<6").when(c < 10, "6–9").when(c < 20, "10–19").otherwise("20+")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stemmata.config import PACKAGES, Params
 from stemmata.functions import similarity as sim
 from stemmata.functions.cleaning import clean, clean_text, is_greek
-from stemmata.operators import align, grams, importer, numbers, packages, passages, retrieval, subwords, topos, units, verdicts
+from stemmata.operators import align, grams, importer, numbers, packages, passages, reports, retrieval, subwords, topos, units, verdicts
 from stemmata.operators.current import latest
 from stemmata.plans import sweep as sweeps
 from stemmata.plans.sql import SQL as _SQL
@@ -27,6 +27,8 @@ FLAGSHIP = "match_records"
 SQL: dict[str, str] = _SQL
 QUERIES: dict[str, Query] = {}
 PAIR = ["work_i", "work_j", "i", "j"]
+#: a small model for the queries, in place of a model file (fixed values)
+MODEL = subwords.Model((("ο", "υ"), ("ο", "ς</w>"), ("κ", "α"), ("κα", "ι</w>"), ("τ", "ο"), ("το", "ν</w>"), ("ε", "ι")), frozenset({"και</w>", "τον</w>"}), True)
 RULES = verdicts.Rules(fp_chain_below=8, fp_score_below=0.01, verify=verdicts.package_names(["1", "2"]), verify_chain=10, verify_score=0.05)
 _KEPT: dict[str, Any] = {}
 
@@ -527,6 +529,79 @@ def clipped_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).filter(F.col("snippet_i").isNotNull()).select("match_id", sim.clip(F.col("snippet_i"), 70).alias("snippet"))
 
 
+# reports --------------------------------------------------------------------------------------
+
+
+@query
+def report_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.summary(records(spark, sf))
+
+
+@query
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.longest(found_records(spark, sf), False).drop("match_id")
+
+
+@query
+def report_leading(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.leading(found_records(spark, sf))
+
+
+@query
+def report_eras(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.era_counts(records(spark, sf))
+
+
+@query
+def report_era_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.era_lines(found_records(spark, sf)).select("era_first", "era_second", "rank", "match_id", "gap_i", "gap_j", "span_i", "span_j")
+
+
+@query
+def report_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.repeated_passages(_ranged_records(spark, sf))
+
+
+@query
+def topos_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.tag_totals(tagged(spark, sf))
+
+
+@query
+def topos_origins(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.tag_origins(tagged(spark, sf))
+
+
+@query
+def base_noise(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.base_noise(records(spark, sf))
+
+
+@query
+def package_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.package_examples(records(spark, sf))
+
+
+@query
+def cosine_subwords(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores over the subwords of a small fixed model, stop subwords left out."""
+    s = replace(swept(spark, sf), model=MODEL)
+    return sweeps.scored(s).select(*PAIR, F.round("score", 6).alias("score"))
+
+
+@query
+def subword_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = subwords.word_counts(swept(spark, sf).units)
+    return subwords.dictionary(words, MODEL).select("word", F.array_join("subs", " ").alias("subs"))
+
+
+@query
+def subword_words_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the first three merges only."""
+    words = subwords.word_counts(swept(spark, sf).units)
+    return subwords.dictionary(words, MODEL, 3).select("word", F.array_join("subs", " ").alias("subs"))
+
+
 # verdicts -------------------------------------------------------------------------------------
 
 
@@ -545,6 +620,17 @@ def verdict_decided(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.decided(ruled(spark, sf), read(spark, sf, "verdicts")).select("wp_key", "match_id", "status")
 
 
+@query
+def verdict_export(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.export(verdicts.decided(ruled(spark, sf), read(spark, sf, "verdicts")))
+
+
+@query
+def review_package(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the packages whose name contains a part, any author."""
+    return verdicts.review(ruled(spark, sf), wp="p2", chain=(8, None)).select("wp_key", "match_id", "chain_len")
+
+
 @query
 def review_filter(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.review(records(spark, sf), chain=(6, 20), score=0.01, author="Younger").select("match_id", "chain_len", "score")

@@ -147,7 +147,46 @@ _TAIL_GREEK = "αβγδεζηθικλμνξοπρςστυφχψωίϊϋόύώά
 _HEADING_SQL = r"\s+[0-9]+\s+(?:ante|cf|Vgl|vgl)|\s+(?:Drei|Zwei|Ein)\s+Exkurse"
 _PCT = "(rank() OVER (PARTITION BY work_i, work_j ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY work_i, work_j, score) - 1) / 2.0) / count(score) OVER (PARTITION BY work_i, work_j)"
 
+_LISTED = "rec.chain_len >= 6 AND coalesce(author_i, '') <> coalesce(author_j, '')"
+_LEAD = " UNION ALL ".join(f"(SELECT '{k}' AS by, match_id, chain_len, matched_words, n_chained, score FROM l ORDER BY {k} DESC, l.chain_len DESC, match_id LIMIT 1)" for k in ("chain_len", "matched_words", "score"))
+_FLAT = lambda s: f"replace(array_to_string(list_filter(regexp_split_to_array(snippet_{s}, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS t{s}"
+_GAPS = "greatest(0, hi_i - lo_i + 1 - matched_words) AS gap_i, greatest(0, hi_j - lo_j + 1 - matched_words_j) AS gap_j"
+_SPANS = "lo_i || '–' || hi_i AS span_i, lo_j || '–' || hi_j AS span_j"
+_MERGES = (("ο", "υ"), ("ο", "ς</w>"), ("κ", "α"), ("κα", "ι</w>"), ("τ", "ο"), ("το", "ν</w>"), ("ε", "ι"))
+
+
+def _sub_list(w: str, merges: int = len(_MERGES)) -> str:
+    """A word's subwords: no merge of this model makes a pair for an earlier one, so each is a replacement in a string of '⟨a⟩⟨b⟩'."""
+    out = f"array_to_string(list_transform(range(1, length({w}) + 1), lambda p: '⟨' || {w}[p] || CASE WHEN p = length({w}) THEN '</w>' ELSE '' END || '⟩'), '')"
+    for a, b in _MERGES[:merges]:
+        out = f"replace({out}, '⟨{a}⟩⟨{b}⟩', '⟨{a}{b}⟩')"
+    return f"regexp_extract_all({out}, '⟨([^⟩]*)⟩', 1)"
+
+
+_AFTER_TOP = SCORES[len(TOP) :]
+_GRAMS_END = _AFTER_TOP.index("nn AS")
+SUB_SCORES = (
+    f"{TOP}, sw AS (SELECT w, list_filter({_sub_list('w')}, lambda x: x NOT IN ('και</w>', 'τον</w>')) AS l FROM (SELECT DISTINCT unnest(norm) AS w FROM un)), so AS (SELECT work_id, unit_pos, unnest(norm) AS w, unnest(range(0, len(norm))) AS p FROM un), us AS (SELECT work_id, unit_pos, flatten(list(l ORDER BY p)) AS subs FROM so JOIN sw USING (w) GROUP BY ALL)"
+    + _AFTER_TOP[:_GRAMS_END].replace("norm", "subs").replace("FROM un ", "FROM us ")
+    + _AFTER_TOP[_GRAMS_END:]
+)
+
 SQL: dict[str, str] = {
+    "report_summary": f"WITH {M}, x AS (SELECT coalesce(chain_len >= 6, false) AS l, {SAME} AS s FROM m) SELECT count(*) AS records, count(*) FILTER (WHERE NOT s) AS cross_all, count(*) FILTER (WHERE s) AS intra_all, count(*) FILTER (WHERE l AND NOT s) AS cross_listed, count(*) FILTER (WHERE l AND s) AS intra_listed, count(*) FILTER (WHERE NOT l) AS below FROM x",
+    "report_lines": f"WITH {RECORDS}, c AS (SELECT *, row_number() OVER (ORDER BY chain_len DESC, match_id) AS rank, {_FLAT('i')}, {_FLAT('j')} FROM rec WHERE {_LISTED} QUALIFY rank <= 10) SELECT rank, work_i, ref_i, work_j, ref_j, chain_len, matched_words, matched_words_j, {_GAPS}, n_chained, score, {_SPANS}, {_clipped('ti', 70)} AS snippet_i, {_clipped('tj', 70)} AS snippet_j FROM c",
+    "report_leading": f"WITH {RECORDS}, l AS (SELECT * FROM rec WHERE {_LISTED}) {_LEAD}",
+    "report_eras": f"WITH {ORDERED} SELECT era_first, era_second, count(*) AS n, max(chain_len) AS longest FROM eo WHERE chain_len >= 6 AND NOT {SAME} GROUP BY ALL",
+    "report_era_lines": f"WITH {RECORDS}, eo AS (SELECT *, CASE WHEN {_RK('era_i')} > {_RK('era_j')} THEN era_j ELSE era_i END AS era_first, CASE WHEN {_RK('era_i')} > {_RK('era_j')} THEN era_i ELSE era_j END AS era_second FROM rec WHERE {_LISTED}) SELECT era_first, era_second, row_number() OVER (PARTITION BY era_first, era_second ORDER BY chain_len DESC, match_id) AS rank, match_id, {_GAPS}, {_SPANS} FROM eo QUALIFY rank <= 10",
+    "report_passages": f"WITH {_TABLE_PLACED}, g AS (SELECT work_i, unit_i, work_j, unit_j, cluster, min(lo_i) AS i_lo, max(hi_i) AS i_hi, min(lo_j) AS j_lo, max(hi_j) AS j_hi, CASE WHEN count(DISTINCT ref_i) > 1 THEN 'i' ELSE '' END || CASE WHEN count(DISTINCT ref_j) > 1 THEN 'j' ELSE '' END AS windows_differ FROM cs JOIN (SELECT match_id, ref_i, ref_j FROM rec) USING (match_id) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1) SELECT work_i, unit_i, work_j, unit_j, cluster::BIGINT AS cluster, match_id, chain_len, i_lo, i_hi, j_lo, j_hi, windows_differ FROM cs JOIN g USING (work_i, unit_i, work_j, unit_j, cluster)",
+    "topos_totals": f"WITH {TAGGED}, n AS (SELECT count(*) AS records, count(*) FILTER (WHERE tag <> '') AS tagged FROM tg) SELECT records, tagged, records - tagged AS clean, 100.0::DOUBLE * tagged / nullif(records, 0) AS tagged_pct, 100.0::DOUBLE * (records - tagged) / nullif(records, 0) AS clean_pct FROM n",
+    "topos_origins": f"WITH {TAGGED} SELECT tag_origin, count(*) AS n FROM tg WHERE tag <> '' GROUP BY tag_origin",
+    "base_noise": f"WITH {BASE}, n AS (SELECT count(*) AS base, count(*) FILTER (WHERE chain_len < 6) AS short, count(*) FILTER (WHERE chain_len >= 6) AS long FROM ba) SELECT *, 100.0::DOUBLE * short / nullif(base, 0) AS short_pct, 100.0::DOUBLE * long / nullif(base, 0) AS long_pct FROM n",
+    "package_examples": f"WITH {BASE}, w AS ({_wp('wp1', '7th_8th', 6)} UNION ALL {_wp('wp2', '9th_10th', 6)} UNION ALL {_wp('wp3', '11th_12th', 8)}), k AS (SELECT wp_key, match_id, chain_len, score, 'chain' AS kind, chain_len::DOUBLE AS v FROM w UNION ALL SELECT wp_key, match_id, chain_len, score, 'score', score FROM w WHERE score IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY wp_key, kind ORDER BY v DESC, match_id) AS rank FROM k) SELECT wp_key, kind, rank, match_id, chain_len, score FROM r WHERE rank <= CASE WHEN kind = 'chain' THEN 3 ELSE 1 END",
+    "cosine_subwords": f"WITH {SUB_SCORES} SELECT work_i, work_j, i, j, round(score, 6) AS score FROM sc",
+    "subword_words": f"WITH {UNITS} SELECT w AS word, array_to_string({_sub_list('w')}, ' ') AS subs FROM (SELECT DISTINCT unnest(norm) AS w FROM un)",
+    "subword_words_limited": f"WITH {UNITS} SELECT w AS word, array_to_string({_sub_list('w', 3)}, ' ') AS subs FROM (SELECT DISTINCT unnest(norm) AS w FROM un)",
+    "verdict_export": f"WITH {RULED}, gv AS (SELECT rel_id, lower(trim(status)) AS given FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY decided_at DESC NULLS LAST, lower(trim(status))) AS n FROM verdicts WHERE lower(trim(status)) IN ('unverified', 'verified', 'false_positive')) WHERE n = 1) SELECT rel_id, arg_min(coalesce(given, status), wp_key) AS status FROM ru LEFT JOIN gv USING (rel_id) WHERE rel_id IS NOT NULL GROUP BY rel_id",
+    "review_package": f"WITH {RULED} SELECT wp_key, match_id, chain_len FROM ru WHERE contains(wp_key, 'p2') AND chain_len >= 8",
     "clean_text": f"WITH {CLEANED} SELECT work_id, seg_pos, t0 AS plain, t AS text, {greek('t0')} AS greek FROM cl",
     "window_units": f"WITH {WINDOWS} SELECT work_id, unit_pos, label, text FROM win",
     "segment_units": f"WITH {CLEANED} SELECT work_id, seg_pos, ref AS label, t AS text FROM cl WHERE t <> ''",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "chapter string, page string, column string, line string, role string, text string, ref string"
@@ -46,6 +46,52 @@ def documents(spark: SparkSession, pattern: str) -> DataFrame:
     return chosen.select(F.col("meta.tlg_id").alias("work_id"), F.posexplode("segments").alias("seg_pos", "s")).select("work_id", "seg_pos", "s.*")
 
 
+def work_files(spark: SparkSession, root: str, works: DataFrame) -> DataFrame:
+    """(work_id, path): of each work (work_id, era) of a manifest the first file by name of ``root``/era/id__*.json; works without a file are left out. Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*__*.json").load(root).select("path")
+    part = lambda k: F.regexp_extract("path", r"/([^/]+)/([^/]+?)__[^/]*\.json$", k)
+    found = files.select(F.url_decode(part(1)).alias("era"), F.url_decode(part(2)).alias("work_id"), "path")
+    return works.select("work_id", "era").join(found, ["work_id", "era"]).groupBy("work_id").agg(F.min("path").alias("path"))
+
+
+def work_documents(spark: SparkSession, root: str, works: DataFrame) -> DataFrame:
+    """(work_id, seg_pos, ...) of the works of a manifest, as ``documents``, with the manifest's id; every chosen file is read once."""
+    chosen = work_files(spark, root, works)
+    paths = [r["path"] for r in chosen.collect()]  # one for each work of the manifest
+    if not paths:
+        return spark.createDataFrame([], f"work_id string, seg_pos int, {SEGMENT}")
+    raw = spark.read.schema(DOCUMENT).option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+    bare = lambda c: F.url_decode(F.regexp_replace(c, r"^file:/+", "/"))
+    named = raw.withColumn("p", bare("path")).join(chosen.select("work_id", bare("path").alias("p")), "p")
+    return named.select("work_id", F.posexplode("segments").alias("seg_pos", "s")).select("work_id", "seg_pos", "s.*")
+
+
+def in_order(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Records of JSON-lines files with match_id in the order of the files by name and of their lines; numbers may have gaps."""
+    rows = spark.read.schema(schema).json(paths)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    # one row for each split of a file
+    splits = rows.select("__f", "__b").distinct()
+    ranked = splits.withColumn("__r", F.row_number().over(Window.orderBy("__f", "__b")))
+    return rows.join(F.broadcast(ranked), ["__f", "__b"]).withColumn("match_id", F.col("__r").cast("bigint") * (1 << 33) + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__f", "__b", "__m", "__r")
+
+
+def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
+    """The table under a heading of a report: text columns named by the table's head; None of its cells is converted."""
+    lines = [r["value"] for r in spark.read.text(path, wholetext=False).collect()]  # a report is a page for readers
+    at = next((i for i, line in enumerate(lines) if line.lstrip("# ").strip() == heading), len(lines))
+    table = []
+    for line in lines[at + 1 :]:
+        if line.startswith("|"):
+            table.append([c.strip() for c in line.strip().strip("|").split("|")])
+        elif table or line.startswith("#"):
+            break
+    if not table:
+        raise ValueError(f"no table under {heading!r}")
+    rows = [tuple(r) for r in table[1:] if not all(set(c) <= set("-: ") for c in r)]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in table[0]))
+
+
 def plain_texts(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, text): whole text files, to be cut into segments by the importer."""
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -66,8 +112,6 @@ def package_table(spark: SparkSession, folder: str, wp: str) -> DataFrame | None
     for name in (f"{wp}_tagged.tsv", f"{wp}_clean.tsv"):
         path = Path(folder) / name
         if path.exists():
-            from pyspark.sql import Window
-
             # a package is a curated list of one file; its order is the record's identity
             rows = table(spark, str(path)).withColumn("__at", F.monotonically_increasing_id())
             number = F.row_number().over(Window.orderBy("__at"))

@@ -46,6 +46,30 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows] + rest) + "\n"
 
 
+def report(title: str, parts: dict[str, DataFrame], notes: list[str] | None = None, path: str | None = None) -> str:
+    """A report of several tables under their headings, written to ``path`` if that is given; a table without rows says so."""
+    out = [f"# {title}", "", *[f"* {x}" for x in notes or []], ""]
+    for heading, df in parts.items():
+        text = markdown(df, heading)
+        out.append("#" + text if text.count("\n| ") > 1 else f"## {heading}\n\nNone.\n")
+    whole = "\n".join(out)
+    if path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(whole, encoding="utf-8")
+    return whole
+
+
+def numbers_json(parts: dict[str, DataFrame], path: str) -> dict[str, object]:
+    """All reported counts as one JSON file: a table of one row as an object, of several as a list."""
+    found: dict[str, object] = {}
+    for name, df in parts.items():
+        rows = [r.asDict(recursive=True) for r in df.collect()]  # aggregates
+        found[name] = rows[0] if len(rows) == 1 else rows
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(found, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    return found
+
+
 def run_meta(path: str, params: Params, diagnostics: dict[str, object], works: list[dict[str, object]], hashes: dict[str, str]) -> None:
     """The sidecar of a run: parameters, which were clamped, whether scores are of corpus scope, diagnostics, hashes of the inputs."""
     meta = {"generated": datetime.now(UTC).isoformat(), "requested": {k: v for k, v in vars(params).items() if k != "clamped"}, "clamped": params.clamped, "corpus_idf": params.idf_scope == "corpus", "diagnostics": diagnostics, "sha256": hashes, "works": works}
