@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemmata.config import PACKAGES, Params
@@ -83,24 +83,23 @@ def swept(spark: SparkSession, sf: str) -> sweeps.Sweep:
     return _KEPT["sweep"]
 
 
+def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """Rows with match_id from 1 in the order of the columns: sorted by ranges, numbered inside each partition behind the sizes of those before it, so no task sorts all."""
+    placed = scratch.put(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = sizes.select("part", before.alias("offset"))
+    return placed.withColumn("n", inside).join(F.broadcast(offsets), "part").withColumn("match_id", F.col("n") + F.col("offset")).drop("part", "n", "offset")
+
+
 def found_records(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep's records with match_id in the order of works and units, kept with the sweep. They are a report: one row a matching pair of windows."""
     sweep = swept(spark, sf)
     if "records" not in _KEPT:
         scratch = Scratch(spark, "records")
         _KEPT["scratch"].append(scratch)
-        rows = scratch.put(sweeps.records(sweep))
-        sorted_ = rows.repartitionByRange(*PAIR).sortWithinPartitions(*PAIR)
-        # numbered by partition: sizes of the partitions before, then the place inside
-        from pyspark.sql import Window
-
-        placed = scratch.put(sorted_.withColumn("part", F.spark_partition_id()))
-        inside = F.row_number().over(Window.partitionBy("part").orderBy(*PAIR))
-        sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-        before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-        offsets = sizes.select("part", before.alias("offset"))
-        numbered = placed.withColumn("n", inside).join(F.broadcast(offsets), "part").withColumn("match_id", F.col("n") + F.col("offset")).drop("part", "n", "offset")
-        _KEPT["records"] = scratch.put(numbered)
+        _KEPT["records"] = scratch.put(numbered(scratch.put(sweeps.records(sweep)), PAIR, scratch))
     return _KEPT["records"]
 
 
@@ -285,8 +284,6 @@ def match_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def diagonal_runs(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = _cells(spark, sf).filter(sim.word_match(F.col("a"), F.col("b"), 0.75)).withColumn("d", F.col("wj") - F.col("wi"))
     w = Window.partitionBy(*PAIR, "d").orderBy("wi")
     opens = F.when(F.col("wi") - F.lag("wi").over(w) == 1, 0).otherwise(1)
