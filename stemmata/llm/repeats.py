@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from stemmata.functions.text import normalise, tokens
 from stemmata.scratch import Scratch
 
 WIDTH = 8
-SHARE = 0.25
+SHARE = Fraction(1, 4)
 #: texts under this many tokens have no stable histogram and get no distance
 LEAST_TOKENS = 50
 #: words per language in the reference histogram
@@ -54,16 +55,16 @@ def repeated(ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.cumsum(cover)[:-1] > 0
 
 
-def share(text: str | None, width: int = WIDTH) -> tuple[int, int]:
-    """(tokens, tokens in a repeat)."""
+def share(text: str | None, width: int = WIDTH, least: Fraction = Fraction(0)) -> tuple[int, int]:
+    """(tokens, tokens in a repeat), the latter 0 where the text's histogram shows that fewer than ``least`` of its tokens can lie in a repeat."""
     words = tokens(text) if text else []
     n = len(words)
     if n <= width:
         return n, 0
     seen: dict[str, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=n)
-    # each token of a repeat stands earlier too, so a repeat needs `width` tokens that are not first of their kind
-    if n - len(seen) < width:
+    # each token of a repeat stands earlier too, so the histogram of words bounds them: those that are not first of their kind
+    if n - len(seen) < max(width, least * n):
         return n, 0
     return n, int(repeated(ids, width).sum())
 
@@ -86,6 +87,23 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", *, widt
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens bigint, n_repeated bigint, repeat_share double")
 
 
+def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, least: Fraction = SHARE) -> DataFrame:
+    """(key, n_tokens, n_repeated): the rows of ``docs`` of whose tokens at least ``least`` lie in a repeat.
+
+    The histogram of a text's words bounds its repeats from above; only texts that pass the bound have their sequences compared. Whole numbers decide, so exactly a quarter is a quarter.
+    Texts without tokens are never repetitive; otherwise as ``repetition``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [share(t, width, least) for t in b[text]]
+            keep = np.array([n > 0 and r >= least * n for n, r in got], dtype=bool)
+            yield pd.DataFrame({key: b[key][keep], "n_tokens": [n for n, r in got if n > 0 and r >= least * n], "n_repeated": [r for n, r in got if n > 0 and r >= least * n]})
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens bigint, n_repeated bigint")
+
+
 def _class_of(c: str) -> int:
     if c.isalpha():
         return 0 if c in _VOWELS else 1

@@ -341,6 +341,8 @@ def test_repetition(spark):
     got = {r["doc_id"]: (r["n_tokens"], r["n_repeated"]) for r in repeats.repetition(df).collect()}
     assert got == {i: brute_share(t) for i, t in enumerate(texts)}
     assert repeats.repetition(df.limit(0)).count() == 0
+    many = {r["doc_id"]: (r["n_tokens"], r["n_repeated"]) for r in repeats.repetitive(df).collect()}
+    assert many == {i: (n, k) for i, t in enumerate(texts) for n, k in [brute_share(t)] if n and 4 * k >= n} and len(many) > 3
 
 
 def test_divergence(spark):
