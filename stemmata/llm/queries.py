@@ -21,9 +21,9 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
-    """Current segments."""
+    """Current segments with their texts, which are not shuffled."""
     rows = _read(spark, sf, "plato_respublica_598").select(*dict.fromkeys([*SEGMENT, "loaded_at", "row_id", *columns]))
-    return latest(rows, SEGMENT, ["loaded_at", "row_id"])
+    return latest_wide(rows, SEGMENT, ["loaded_at", "row_id"], "row_id")
 
 
 def records(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
