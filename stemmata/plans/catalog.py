@@ -7,8 +7,7 @@ lower-cased ('unknown' for none), references trimmed and NaN scores as null.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
-from typing import Any
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,9 @@ PAIR = ["work_i", "work_j", "i", "j"]
 #: a small model for the queries, in place of a model file (fixed values)
 MODEL = subwords.Model((("ο", "υ"), ("ο", "ς</w>"), ("κ", "α"), ("κα", "ι</w>"), ("τ", "ο"), ("το", "ν</w>"), ("ε", "ι")), frozenset({"και</w>", "τον</w>"}), True)
 RULES = verdicts.Rules(fp_chain_below=8, fp_score_below=0.01, verify=verdicts.package_names(["1", "2"]), verify_chain=10, verify_score=0.05)
-_KEPT: dict[str, Any] = {}
+#: sweeps that are kept
+KEEP = 4
+_KEPT: dict[str, Kept] = {}
 
 
 def query(f: Query) -> Query:
@@ -66,21 +67,34 @@ def state(spark: SparkSession, sf: str) -> str:
     return "\n".join(sorted(found))
 
 
-def forget() -> None:
-    """Drop the tables of the sweep that is kept, so that the next query makes its own."""
-    for scratch in _KEPT.pop("scratch", []):
-        scratch.clear()
-    _KEPT.clear()
+@dataclass
+class Kept:
+    """A sweep and, once they are asked for, its records, with the families of tables to remove when it is forgotten."""
 
+    sweep: sweeps.Sweep
+    scratch: list[Scratch]
+    records: DataFrame | None = None
 
-def swept(spark: SparkSession, sf: str) -> sweeps.Sweep:
-    """The sweep's tables. The last one made is kept for the queries that start from it, as long as its input tables are the same; the tables of the one before are removed."""
+
+def forget(most: int = 0) -> None:
+    """Remove the tables of all kept sweeps but the last ``most``."""
+    while len(_KEPT) > most:
+        for scratch in _KEPT.pop(next(iter(_KEPT))).scratch:
+            scratch.clear()
+
+
+def kept(spark: SparkSession, sf: str) -> Kept:
+    """The sweep of a folder, made once as long as its input tables are the same. The last KEEP sweeps are kept, since results that were not read yet may need them; the tables of older ones are removed."""
     key = state(spark, sf)
-    if _KEPT.get("key") != key:
-        forget()
-        _KEPT["key"], _KEPT["sweep"] = key, sweeps.prepare(segments(spark, sf), read(spark, sf, "works"))
-        _KEPT["scratch"] = [_KEPT["sweep"].scratch]
-    return _KEPT["sweep"]
+    if key not in _KEPT:
+        forget(KEEP - 1)
+        made = sweeps.prepare(segments(spark, sf), read(spark, sf, "works"))
+        _KEPT[key] = Kept(made, [made.scratch])
+    return _KEPT[key]
+
+
+def swept(spark: SparkSession, sf: str) -> sweeps.Sweep:
+    return kept(spark, sf).sweep
 
 
 def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
@@ -95,12 +109,12 @@ def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
 
 def found_records(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep's records with match_id in the order of works and units, kept with the sweep. They are a report: one row a matching pair of windows."""
-    sweep = swept(spark, sf)
-    if "records" not in _KEPT:
+    own = kept(spark, sf)
+    if own.records is None:
         scratch = Scratch(spark, "records")
-        _KEPT["scratch"].append(scratch)
-        _KEPT["records"] = scratch.put(numbered(scratch.put(sweeps.records(sweep)), PAIR, scratch))
-    return _KEPT["records"]
+        own.scratch.append(scratch)
+        own.records = scratch.put(numbered(scratch.put(sweeps.records(own.sweep)), PAIR, scratch))
+    return own.records
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,8 @@ from stemmata.config import Params
 from stemmata.functions import cleaning, similarity
 from stemmata.functions.text import normalise
 from stemmata.operators import align, current, grams, importer, numbers, packages, passages, retrieval, subwords, topos, units, verdicts
-from stemmata.plans import sweep
+from stemmata.plans import catalog, sweep
+from stemmata.scratch import root
 
 
 def one(spark, expr_of, value, kind="string"):
@@ -282,6 +283,41 @@ def test_units_beyond_the_limit_are_reported(spark, monkeypatch):
     assert row["units"] == 2 and row["units_dropped"] == 3 and any("dropped" in x for x in sweep.warnings(row.asDict(), Params()))
 
 
+def test_kept_sweeps_follow_their_tables(spark, tmp_path):
+    def write(text):
+        rows = [("w", 0, "1", "a", "r", text, None, 1)]
+        spark.createDataFrame(rows, "work_id string, seg_pos int, chapter string, page string, ref string, text string, loaded_at timestamp, row_id long").write.mode("overwrite").parquet(f"{tmp_path}/plato_respublica_598.parquet")
+
+    spark.createDataFrame([("w", "e", "A", "T")], "work_id string, era string, author string, title_latin string").write.parquet(f"{tmp_path}/works.parquet")
+    write("λόγος")
+    units_of = lambda: [r["text"] for r in catalog.swept(spark, str(tmp_path)).units.collect()]
+    assert units_of() == ["λόγος"] and catalog.swept(spark, str(tmp_path)) is catalog.swept(spark, str(tmp_path))
+    write("ἄλλος λόγος")
+    assert units_of() == ["ἄλλος λόγος"]
+    catalog.forget(1)
+    assert len(catalog._KEPT) == 1 and units_of() == ["ἄλλος λόγος"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        root(Session())
+    Session.sparkContext.master = "local[4]"
+    assert root(Session()).startswith("file:")
+
+
 def test_authors_of_works_by_the_last_record(spark):
     rows = [(1, "w", "v", "First", "B", "Z", "T"), (2, "v", "w", "", "Last", None, "A"), (3, "w", "u", "", None, "", ""), (4, None, "w", "X", None, "", None)]
     df = spark.createDataFrame(rows, "match_id long, work_i string, work_j string, author_i string, author_j string, title_i string, title_j string")
