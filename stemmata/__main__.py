@@ -103,8 +103,8 @@ def run_packages(spark: SparkSession, a: argparse.Namespace) -> None:
     mode = a.score_mode
     if mode == "auto":
         mode = "absolute" if readers.score_scope(a.table) == "corpus" else "none"
-    rows = readers.table(spark, a.table).withColumn("match_id", F.monotonically_increasing_id())
-    writers.packages(packages.all_packages(rows, mode, a.score_pct).drop("match_id"), a.out)
+    rows = readers.in_file_order(readers.table(spark, a.table))
+    writers.packages(packages.all_packages(rows, mode, a.score_pct), a.out)
     floors = [f"{name}: {x} and {y}, chain at least {c}, score at least {s}" for name, x, y, c, s in reports.thresholds()]
     parts = {"Packages": packages.package_report(rows), "Examples": reports.package_examples(rows).orderBy("wp_key", "kind", "rank"), "Base records": reports.base_noise(rows), "Fourth package": packages.composition(rows)}
     print(writers.report("Work packages", parts, [*floors, f"score mode: {mode}"], f"{a.out}/report.md"))

@@ -20,6 +20,7 @@ from stemmata.operators.current import latest
 from stemmata.plans import sweep as sweeps
 from stemmata.plans.sql import SQL as _SQL
 from stemmata.scratch import Scratch
+from stemmata.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "match_records"
@@ -133,6 +134,53 @@ def aligned_cells(spark: SparkSession, sf: str) -> int:
     return pairs.agg(F.coalesce(F.sum(F.size("norm_i") * F.size("norm_j")), F.lit(0)).alias("n")).collect()[0]["n"]
 
 
+# sources --------------------------------------------------------------------------------------
+
+_TABLE = "work_i work_j era_i era_j author_i author_j title_i title_j score chain_len matched_words ref_i ref_j snippet_i snippet_j".split()
+
+
+@query
+def manifest_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest written as CSV and read again."""
+    path = Scratch(spark, "io").folder() + ".csv"
+    read(spark, sf, "works").select(F.col("work_id").alias("tlg_id"), "era", "author", "title_latin").write.option("header", True).csv(path)
+    return readers.manifest(spark, path)
+
+
+@query
+def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = Scratch(spark, "io").folder() + ".json"
+    writers.ndjson(read(spark, sf, "works").select(F.col("work_id").alias("tlg_id"), "era", "author", "title_latin"), path)
+    return readers.manifest(spark, path)
+
+
+@query
+def ndjson_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as JSON lines to two places and read as one."""
+    scratch = Scratch(spark, "io")
+    paths = [scratch.folder(), scratch.folder()]
+    for k, path in enumerate(paths):
+        writers.ndjson(records(spark, sf).filter(F.col("match_id") % 2 == k).select(*_TABLE), path)
+    return readers.records(spark, paths).select(*_TABLE)
+
+
+@query
+def tagged_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The tagged table written and read again: tabs and line ends are spaces, empty is null."""
+    path = Scratch(spark, "io").folder()
+    writers.tsv(records(spark, sf), path, writers.TAGGED_COLUMNS)
+    return readers.table(spark, path)
+
+
+@query
+def package_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The packages written as tables and read as one, with identifiers by their order."""
+    folder = Scratch(spark, "io").folder()
+    writers.packages(packages.all_packages(records(spark, sf)), folder)
+    found = readers.all_package_tables(spark, folder, tuple(f"wp{k}" for k in range(1, 6)))
+    return found.select("wp_key", "rel_id", "work_i", "work_j", "chain_len", "score")
+
+
 # text and units -------------------------------------------------------------------------------
 
 

@@ -147,6 +147,7 @@ _TAIL_GREEK = "αβγδεζηθικλμνξοπρςστυφχψωίϊϋόύώά
 _HEADING_SQL = r"\s+[0-9]+\s+(?:ante|cf|Vgl|vgl)|\s+(?:Drei|Zwei|Ein)\s+Exkurse"
 _PCT = "(rank() OVER (PARTITION BY work_i, work_j ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY work_i, work_j, score) - 1) / 2.0) / count(score) OVER (PARTITION BY work_i, work_j)"
 
+_cell = lambda c: f"nullif(translate({c}, chr(9) || chr(10) || chr(13), '   '), '') AS {c}"
 _LISTED = "rec.chain_len >= 6 AND coalesce(author_i, '') <> coalesce(author_j, '')"
 _LEAD = " UNION ALL ".join(f"(SELECT '{k}' AS by, match_id, chain_len, matched_words, n_chained, score FROM l ORDER BY {k} DESC, l.chain_len DESC, match_id LIMIT 1)" for k in ("chain_len", "matched_words", "score"))
 _FLAT = lambda s: f"replace(array_to_string(list_filter(regexp_split_to_array(snippet_{s}, '{SPACE}'), lambda w: w <> ''), ' '), '|', '/') AS t{s}"
@@ -172,6 +173,11 @@ SUB_SCORES = (
 )
 
 SQL: dict[str, str] = {
+    "manifest_csv": "SELECT work_id, era, author, title_latin FROM works",
+    "manifest_lines": "SELECT work_id, era, author, title_latin FROM works",
+    "ndjson_records": f"WITH {M} SELECT work_i, work_j, era_i, era_j, author_i, author_j, title_i, title_j, score, chain_len, matched_words, ref_i, ref_j, snippet_i, snippet_j FROM m",
+    "tagged_table": f"WITH {M} SELECT {', '.join(_cell(c) for c in 'work_i ref_i era_i work_j ref_j era_j snippet_i snippet_j author_i author_j title_i title_j tag'.split())}, score, chain_len, matched_words FROM m",
+    "package_tables": f"WITH {ALL}, k AS (SELECT wp_key, match_id, chain_len, score, row_number() OVER (PARTITION BY wp_key ORDER BY match_id) AS n FROM wp) SELECT wp_key, format('rel-{{}}-{{:05d}}', wp_key, n) AS rel_id, work_i, work_j, k.chain_len, k.score FROM k JOIN m USING (match_id)",
     "report_summary": f"WITH {M}, x AS (SELECT coalesce(chain_len >= 6, false) AS l, {SAME} AS s FROM m) SELECT count(*) AS records, count(*) FILTER (WHERE NOT s) AS cross_all, count(*) FILTER (WHERE s) AS intra_all, count(*) FILTER (WHERE l AND NOT s) AS cross_listed, count(*) FILTER (WHERE l AND s) AS intra_listed, count(*) FILTER (WHERE NOT l) AS below FROM x",
     "report_lines": f"WITH {RECORDS}, c AS (SELECT *, row_number() OVER (ORDER BY chain_len DESC, match_id) AS rank, {_FLAT('i')}, {_FLAT('j')} FROM rec WHERE {_LISTED} QUALIFY rank <= 10) SELECT rank, work_i, ref_i, work_j, ref_j, chain_len, matched_words, matched_words_j, {_GAPS}, n_chained, score, {_SPANS}, {_clipped('ti', 70)} AS snippet_i, {_clipped('tj', 70)} AS snippet_j FROM c",
     "report_leading": f"WITH {RECORDS}, l AS (SELECT * FROM rec WHERE {_LISTED}) {_LEAD}",

@@ -60,6 +60,11 @@ class Scratch:
         back._stemmata_keep = self  # the id above stays valid while the table is in use
         return back
 
+    def folder(self) -> str:
+        """A path of the family for tables in other formats."""
+        self.count += 1
+        return f"{self.base}/{self.count - 1}"
+
     def clear(self) -> None:
         """Remove all tables of the family."""
         self.paths.clear()

@@ -66,14 +66,18 @@ def work_documents(spark: SparkSession, root: str, works: DataFrame) -> DataFram
     return named.select("work_id", F.posexplode("segments").alias("seg_pos", "s")).select("work_id", "seg_pos", "s.*")
 
 
-def in_order(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Records of JSON-lines files with match_id in the order of the files by name and of their lines; numbers may have gaps."""
-    rows = spark.read.schema(schema).json(paths)
+def in_file_order(rows: DataFrame, out: str = "match_id") -> DataFrame:
+    """Rows as read from files, with a number in the order of the files by name and of their lines; numbers may have gaps."""
+    at = ["__f", "__b"]
     rows = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
-    # one row for each split of a file
-    splits = rows.select("__f", "__b").distinct()
-    ranked = splits.withColumn("__r", F.row_number().over(Window.orderBy("__f", "__b")))
-    return rows.join(F.broadcast(ranked), ["__f", "__b"]).withColumn("match_id", F.col("__r").cast("bigint") * (1 << 33) + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__f", "__b", "__m", "__r")
+    ranked = rows.select(*at).distinct().withColumn("__r", F.row_number().over(Window.orderBy(*at)))  # a row for each split of a file
+    low = (1 << 33) - 1  # the place inside a partition
+    return rows.join(F.broadcast(ranked), at).withColumn(out, F.col("__r").cast("bigint") * (low + 1) + F.col("__m").bitwiseAND(low)).drop(*at, "__m", "__r")
+
+
+def in_order(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -> DataFrame:
+    """Records of JSON-lines files with match_id in the order of the files and their lines."""
+    return in_file_order(spark.read.schema(schema).json(paths))
 
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
@@ -107,13 +111,18 @@ def table(spark: SparkSession, path: str, schema: str = PACKAGE) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("encoding", "UTF-8").csv(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def package_table(spark: SparkSession, folder: str, wp: str) -> DataFrame | None:
     """A package's tagged table, else its clean one, with wp_key and rel_id by file order; None without either."""
     for name in (f"{wp}_tagged.tsv", f"{wp}_clean.tsv"):
-        path = Path(folder) / name
-        if path.exists():
-            # a package is a curated list of one file; its order is the record's identity
-            rows = table(spark, str(path)).withColumn("__at", F.monotonically_increasing_id())
+        path = f"{folder}/{name}"
+        if _exists(spark, path):
+            # a package is a curated list; its order is the record's identity
+            rows = in_file_order(table(spark, str(path)), "__at")
             number = F.row_number().over(Window.orderBy("__at"))
             return rows.withColumn("wp_key", F.lit(wp)).withColumn("rel_id", F.format_string("rel-%s-%05d", F.lit(wp), number)).drop("__at")
     return None

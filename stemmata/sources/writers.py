@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.config import Params
+from stemmata.scratch import Scratch
 
 #: column orders of the written tables (fixed values)
 RECORD_COLUMNS = "work_i work_j era_i era_j author_i author_j title_i title_j score chain_len matched_words matched_words_j n_chained ref_i ref_j word_range_i word_range_j snippet_i snippet_j".split()
@@ -31,9 +32,11 @@ def tsv(df: DataFrame, path: str, columns: list[str] | None = None, newlines: bo
 
 
 def packages(df: DataFrame, folder: str) -> None:
-    """One table a package, by wp_key."""
-    for name in [r["wp_key"] for r in df.select("wp_key").distinct().collect()]:  # a handful of packages
-        tsv(df.filter(F.col("wp_key") == name).drop("wp_key"), f"{folder}/{name}_clean", [c for c in TAGGED_COLUMNS if c in df.columns])
+    """One table a package, by wp_key, in the order of match_id where there is one; ``readers.package_table`` reads them again."""
+    kept = Scratch(df.sparkSession, "packages").put(df)  # so the packages are worked out once, not once a table
+    for name in [r["wp_key"] for r in kept.select("wp_key").distinct().collect()]:  # a handful of packages
+        one = kept.filter(F.col("wp_key") == name)
+        tsv(one.orderBy("match_id") if "match_id" in df.columns else one, f"{folder}/{name}_clean.tsv", [c for c in TAGGED_COLUMNS if c in df.columns])
 
 
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
