@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,9 @@ def test_local_kinds(text, kinds):
 def test_counted_kinds_and_repair(spark):
     clean = "θαιγρίπος λόγον ἔφη κρυβεγαπία νόμος"
     rows = [("segment", i, "w1", clean) for i in range(40)]
+    # other words, against which a context may stand out
+    rng = random.Random(2)
+    rows += [("segment", 200, "w1", " ".join("".join(rng.choice("abdfgklmprsz") for _ in range(12)) for _ in range(6000)))]
     rows += [
         ("match", 1, "w1", "θαιγρίπος λόγσν ἔφη"),  # one letter misread
         ("match", 2, "w1", "λόγον κρυβε γαπία νόμος"),  # the divider is lost
@@ -84,7 +89,7 @@ def test_common_words_only_prune(spark):
     rows += [("match", 1, "w", "τσυ λόγου"), ("match", 2, "w", "της φύσεως εστιν αρ χη παντων"), ("match", 3, "w", "conco της φύ-σεως"), ("match", 4, "w", "φύσεως τέλσς εν")]
     rows += [("match", 10 + i, "w", "και τέλσς εν") for i in range(9)]
     ready = spark.createDataFrame(rows, "src string, row_id long, work_id string, text string").withColumn("titles", F.array().cast("array<string>"))
-    got = [sorted((r["src"], r["row_id"], r["noise"]) for r in scans.noise(scans.weigh(ready, ready.select("text").limit(0), heavy=h, places=False)).collect()) for h in (1, 50, 100_000)]
+    got = [sorted((r["src"], r["row_id"], r["noise"]) for r in scans.noise(scans.weigh(ready, ready.select("text").limit(0), heavy=h, lift=5, places=False)).collect()) for h in (1, 50, 100_000)]
     assert got[0] == got[1] == got[2]
     assert {("match", 1, "glyph"), ("match", 2, "hyphen"), ("match", 3, "hyphen"), ("match", 4, "glyph"), ("match", 10, "glyph"), ("segment", 400, "hyphen")} <= set(got[0])
     assert not {r for r in got[0] if r[0] == "segment" and r[1] < 400}
