@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from stemmata.functions.text import SPACE_JVM
 
-# Fixed values of the tail rule: window, step, share of Greek that counts as low, length of the low stretch, reach of the adjustment.
+# Fixed values of the tail rule: window, step, share of Greek that counts as low, length of the low stretch, reach of the adjustment; folio marks, Greek letters
+# that count, headings of an apparatus or excursus.
 WINDOW, STEP, LOW, RUN, REACH = 500, 100, 0.20, 3000, 1500
-GREEK = "αβγδεζηθικλμνξοπρςστυφχψωίϊϋόύώάέή"
 FOLIO = r"f\s+(\d+[rv]+)\b"
-_HEADING = re.compile(r"\s+\d+\s+(?:ante|cf|Vgl|vgl)|\s+(?:Drei|Zwei|Ein)\s+Exkurse")
+_GREEK = re.compile(r"[α-ωίϊϋόύώάέή]")
+_HEADING = re.compile(r"\s+\d+\s+(?:ante|cf\.|cf|Vgl|vgl)|\s+(?:Drei|Zwei|Ein)\s+Exkurse")
+
+GREEK = frozenset(c for c in map(chr, range(0x370, 0x400)) if _GREEK.fullmatch(c))
 
 
 def tail_cut(text: str) -> int:
