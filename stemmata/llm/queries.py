@@ -162,8 +162,8 @@ _RECORDS = _current("wp2_canon_clean", "rel_id", "match_id", "*")
 _UNIT_OF = "trim(split_part({}, '#', 1))"
 
 # NFKD as far as SQL has it: marks stripped, final sigma of words in capitals, raised letters
-_LOW = "translate(lower(x), 'ᵛʳ', 'vr')"
-_TOKENS = rf"list_transform(regexp_extract_all(strip_accents(text), '[\p{{L}}\p{{N}}_]+'), lambda x: CASE WHEN regexp_matches(x, '\p{{L}}Σ$') THEN regexp_replace({_LOW}, 'σ$', 'ς') ELSE {_LOW} END)"
+_LOW = r"translate(lower(regexp_replace(x, '(\p{L})Σ([\p{N}_]|$)', '\1ς\2', 'g')), 'ᵛʳ', 'vr')"
+_TOKENS = rf"list_transform(regexp_extract_all(strip_accents(text), '[\p{{L}}\p{{N}}_]+'), lambda x: {_LOW})"
 
 SQL: dict[str, str] = {
     "p1_found": rf"""
