@@ -343,13 +343,13 @@ def examined(rows: DataFrame, places: bool = True) -> DataFrame:
     """One row per text of ``scanned``, and pre-counted rows of words by batch; to be written once and read by all that follows.
 
     ``text`` composed, ``kinds`` shown by the text itself, ``cuts`` headers and page numbers, ``broken`` words with impossible characters and ``guesses`` of their forms, ``forms`` of
-    the words that may be counted with their places ``at`` and ``upto`` and whether a division may stand before each (``near``). Without ``places``, which only the repair reads, text, cuts, broken, at and upto stay null. Rows with a null ``forms`` are counts: form, surface, n.
+    the words that may be counted, with the characters between each and the one before (``gaps``) and its own (``sizes``), and whether a division may stand before each (``near``). Without ``places``, which only the repair reads, text, cuts, broken, gaps and sizes stay null. Rows with a null ``forms`` are counts: form, surface, n.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     id_type = to_arrow_type(kinds["row_id"])
-    schema = pa.schema([("src", pa.string()), ("row_id", id_type), ("text", pa.string()), ("kinds", pa.list_(pa.string())), ("cuts", pa.list_(_SPAN)), ("broken", pa.list_(_SPAN)), ("guesses", pa.list_(pa.string())), ("forms", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("upto", pa.list_(pa.int32())), ("near", pa.list_(pa.bool_())), ("form", pa.string()), ("surface", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("src", pa.string()), ("row_id", id_type), ("text", pa.string()), ("kinds", pa.list_(pa.string())), ("cuts", pa.list_(_SPAN)), ("broken", pa.list_(_SPAN)), ("guesses", pa.list_(pa.string())), ("forms", pa.list_(pa.string())), ("gaps", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("near", pa.list_(pa.bool_())), ("form", pa.string()), ("surface", pa.string()), ("n", pa.int64())])
     spans = "array<struct<a:int,b:int>>"
-    ddl = f"src string, row_id {kinds['row_id'].simpleString()}, text string, kinds array<string>, cuts {spans}, broken {spans}, guesses array<string>, forms array<string>, at array<int>, upto array<int>, near array<boolean>, form string, surface string, n bigint"
+    ddl = f"src string, row_id {kinds['row_id'].simpleString()}, text string, kinds array<string>, cuts {spans}, broken {spans}, guesses array<string>, forms array<string>, gaps array<int>, sizes array<int>, near array<boolean>, form string, surface string, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: dict[tuple[str, ...], re.Pattern[str]] = {}
@@ -370,7 +370,7 @@ def examined(rows: DataFrame, places: bool = True) -> DataFrame:
                 near = [e >= 0 and (f.text[e:a] == " " or divided(f.text[e:a])) for e, (_, a, _) in zip(ends, words)]
                 one = {"src": src, "row_id": row, "kinds": sorted(f.kinds), "guesses": sorted({guess(f.text[a:b]) for a, b in f.broken}), "forms": [w for w, _, _ in words], "near": near}
                 if places:
-                    one |= {"text": f.text, "cuts": pair(_joined(f.headers + f.pages)), "broken": pair(f.broken), "at": [a for _, a, _ in words], "upto": ends[1:]}
+                    one |= {"text": f.text, "cuts": pair(_joined(f.headers + f.pages)), "broken": pair(f.broken), "gaps": [a - max(e, 0) for e, (_, a, _) in zip(ends, words)], "sizes": [b - a for _, a, b in words]}
                 out.append(one)
             yield pa.RecordBatch.from_pylist(out, schema=schema)
             yield pa.RecordBatch.from_pylist([{"form": known_form(w), "surface": w, "n": n} for w, n in counted.items()], schema=schema)
@@ -447,7 +447,7 @@ def suspects(found: DataFrame, shared: Broadcast[tuple[frozenset[str], frozenset
 class Evidence:
     """Tables written by ``weigh``: what each text shows by itself, and the readings that the counts give."""
 
-    texts: DataFrame  # (src, row_id, text, cuts, broken, forms, at, upto): the texts as ``examined``
+    texts: DataFrame  # (src, row_id, text, cuts, broken, gaps, sizes): the texts as ``examined``
     local: DataFrame  # (src, row_id, kind)
     glyphs: DataFrame  # (src, row_id, a, reading): words that only the counts show to be misread
     broken: DataFrame  # (src, row_id, a, reading): words whose characters show it, where a reading is known
@@ -571,16 +571,21 @@ def repair(evidence: Evidence) -> DataFrame:
     readings = evidence.glyphs.unionByName(evidence.broken).groupBy("src", "row_id", "a").agg(F.min("reading").alias("reading")).groupBy("src", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "reading"))).alias("readings"))
     joined = evidence.joins.groupBy("src", "row_id").agg(F.collect_list(F.struct("a", "b")).alias("joined"))
     keys = ["src", "row_id"]
-    texts = evidence.texts.select(*keys, "text", "cuts", "broken", "forms", "at", "upto")
+    # the places of words are small numbers and their forms are taken from the text again, since this is what is shuffled
+    texts = evidence.texts.select(*keys, "text", "cuts", "broken", "gaps", "sizes")
     full = texts.join(readings, keys, "left").join(joined, keys, "left")
     kinds = dict(texts.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cuts, broken, readings, joined, forms, at, upto in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts", "broken", "readings", "joined")), *(_lists(batch.column(c)) for c in ("forms", "at", "upto"))):
+            for text, cuts, broken, readings, joined, gaps, sizes in zip(*(batch.column(c).to_pylist() for c in ("text", "cuts", "broken", "readings", "joined")), *(_lists(batch.column(c)) for c in ("gaps", "sizes"))):
                 plain = lambda xs: [(x["a"], x["b"]) for x in xs]
-                fixed = repair_text(text, plain(cuts), plain(broken), list(zip(forms, at, upto)), dict(readings or ()), {(p["a"], p["b"]) for p in joined or ()})
+                words, end = [], 0
+                for gap, size in zip(gaps, sizes) if readings or joined else ():  # nothing else needs the words
+                    at, end = end + gap, end + gap + size
+                    words.append((known_form(text[at:end]), at, end))
+                fixed = repair_text(text, plain(cuts), plain(broken), words, dict(readings or ()), {(p["a"], p["b"]) for p in joined or ()})
                 out.append([x.strip() for x in _LINES.split(fixed)])
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("row_id"), pa.array(out, pa.list_(pa.string()))], ["src", "row_id", "lines"])
 
