@@ -46,8 +46,8 @@ def stripped(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    low = f"translate(lower(strip_accents({x})), 'ᵛʳ', 'vr')"
-    return f"CASE WHEN regexp_matches(strip_accents({x}), '\\p{{L}}Σ$') THEN regexp_replace({low}, 'σ$', 'ς') ELSE {low} END"
+    # sigma at the end of a run of letters in capitals
+    return f"translate(lower(regexp_replace(strip_accents({x}), '(\\p{{L}})Σ([\\p{{N}}_]|$)', '\\1ς\\2', 'g')), 'ᵛʳ', 'vr')"
 
 
 def one_byte(x: str) -> str:
