@@ -4,7 +4,8 @@
    ``seed`` words with the least number. Two texts that share k consecutive words share the seed of that stretch, at about a quarter of the
    rows that all sequences would need. A seed is a key of 64 bits and only nominates; seeds that stand in one class only go no further.
 2. Classes that share a seed are paired. A seed that more than ``rare`` classes have is a formula: in its place the whole stretches of k words
-   around it are joined, so a frequent short formula pairs nothing and no exact span is lost.
+   around it are joined, so a frequent short formula pairs nothing and no exact span is lost. For fuzzy passages the texts of a formula are paired besides where a chain of
+   shorter spans may begin (``near``), so no chain is lost either and ``rare`` changes no result.
 3. For each pair the matches of ``seed`` words are found on the words themselves, joined to exact spans, and chained by the best score: words gained less
    the cost of gaps, through a Fenwick tree over positions in the other text. The gaps inside a chain are aligned word by word. A chain is what all results rest
    on: p3_found takes the pairs with a chain that holds an exact span of k words.
@@ -16,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from math import ceil
 from operator import and_
 
 import numpy as np
@@ -38,6 +40,8 @@ GAP_COST = 0.2
 PLACES = 8
 #: odd multipliers of the two rolling numbers (fixed values)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: sequences whose followers are listed at once
+_LISTED = 1 << 13
 #: words, classes and texts a task remembers before it starts anew
 _KEPT = 1 << 20
 _LOW = (1 << 64) - 1
@@ -293,15 +297,91 @@ def class_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.select(*_CLASS, "text").join(classes, _CLASS, "left_semi").dropDuplicates(_CLASS)
 
 
-def candidates(texts: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED, rare: int = RARE, within: int = K) -> DataFrame:
-    """(a1, a2, b1, b2), written: classes that share a seed, (a1, a2) < (b1, b2); of formulas, those that share k words around it. Each stretch of ``within`` words has a seed."""
+def followers(texts: DataFrame, k: int, seed: int, only: str) -> DataFrame:
+    """(g1, g2, after, before, apart, dense, c1, c2): of each row of (text, c1, c2, only) two sequences of ``seed`` words whose numbers the column ``only`` lists, as near to each
+    other as the first two spans of a chain, each under k words, can have the last sequence of the one and the first of the other; the word after the one and that before the other,
+    empty at the ends of the text; whether they are ``apart``, in this order without a common word. Rows may repeat.
+
+    A chain goes on from a span only while the gaps on both sides together cost less than its words. In ``dense`` texts, with a sequence in more than PLACES places, ``exact_spans``
+    may cut a span, which then runs on by k - 1 - seed words at most and may reach into the next.
+    """
+    low, high = seed - 2 * (k - 1 - seed), seed + ceil((k - 1) / GAP_COST)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Numbers()
+        for b in batches:
+            lists = [t.split() for t in b["text"]]
+            n = np.array([len(words) for words in lists], dtype=np.int64)
+            starts, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            flat = [w for words in lists for w in words]
+            h = rolling(numbers.of(flat), seed, _MULTIPLIERS[0]).view(np.int64)
+            inside, dense = np.zeros(len(h), dtype=bool), np.zeros(len(n), dtype=bool)
+            for row, (a, m, wanted) in enumerate(zip(starts, n, b[only])):
+                own = h[a : a + m - seed + 1]
+                inside[a : a + m - seed + 1] = np.isin(own, wanted)
+                dense[row] = np.unique(own, return_counts=True)[1].max() > PLACES
+            at = np.flatnonzero(inside)
+            words = np.array([*flat, ""], dtype=object)
+            of = np.append(owner, -1)
+            c1, c2 = b["c1"].to_numpy(), b["c2"].to_numpy()
+            for i in range(0, len(at), _LISTED):
+                p = at[i : i + _LISTED]
+                least, most = np.searchsorted(at, p + low), np.searchsorted(at, p + high, "right")
+                size = most - least
+                q = at[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(least, size)]
+                p = np.repeat(p, size)
+                same = owner[p] == owner[q]
+                p, q = p[same], q[same]
+                after = np.where(of[p + seed] == owner[p], words[p + seed], "")
+                before = np.where(of[q - 1] == owner[q], words[q - 1], "")
+                yield pd.DataFrame({"g1": h[p], "g2": h[q], "after": after, "before": before, "apart": q - p >= seed, "dense": dense[owner[p]], "c1": c1[owner[p]], "c2": c2[owner[p]]}).drop_duplicates()
+
+    return texts.select("text", *_CLASS, only).mapInPandas(run, "g1 bigint, g2 bigint, after string, before string, apart boolean, dense boolean, c1 bigint, c2 bigint")
+
+
+def _followed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2), some more than once: pairs of classes of ``followers`` with the same two sequences, if the words after the one differ and those before the other do."""
+    key, ends = ["g1", "g2"], ["after", "before"]
+    side = lambda df, s, *more: df.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in (*ends, *more)])
+    differ = [(F.col(f"{c}_a") == "") | (F.col(f"{c}_a") != F.col(f"{c}_b")) for c in ends]
+    # texts that go on alike are one here
+    met = side(left, "a").distinct().join(side(right, "b").distinct(), key).filter(reduce(and_, differ))
+    met = met.join(side(left, "a", *_CLASS), [*key, *[f"{c}_a" for c in ends]]).join(side(right, "b", *_CLASS), [*key, *[f"{c}_b" for c in ends]])
+    x, y = (F.struct(F.col(f"c1_{s}").alias("c1"), F.col(f"c2_{s}").alias("c2")) for s in "ab")
+    ordered = met.filter(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return ordered.select(F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2"))
+
+
+def near(around: DataFrame, scratch: Scratch, k: int, seed: int, rare: int) -> DataFrame:
+    """(a1, a2, b1, b2), (a1, a2) < (b1, b2): of the texts (c1, c2, seeds, text), those with a common seed among ``seeds`` that may have a chain of k words without k consecutive ones.
+
+    Such a chain has two spans under k words near each other. Where the last sequence of the first or the first one of the second is in no more than ``rare`` texts, that
+    sequence pairs them; where both are in more, the two together do, if the words that end the spans differ. Texts that share nothing but a formula are not paired.
+    """
+    grams = scratch.put(stretches(around.select("text", *_CLASS), seed, seed).select(F.col("g1").alias("h"), *_CLASS).distinct())
+    counts = scratch.put(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    few = _both(grams.join(counts.filter(F.col("n") <= rare).select("h"), "h"), ["h"])
+    held = grams.join(counts.filter(F.col("n") > rare).select("h"), "h").groupBy(*_CLASS).agg(F.collect_list("h").alias("many"))  # bounded: the sequences of one text
+    links = scratch.put(followers(around.select("text", *_CLASS).join(held, _CLASS), k, seed, "many").distinct())
+    many = _followed(links.filter("apart"), links.filter("apart")).unionByName(_followed(links.filter("dense"), links))
+    pairs = few.unionByName(many).distinct()
+    return pairs.join(_name(around, "a", "seeds"), ["a1", "a2"]).join(_name(around, "b", "seeds"), ["b1", "b2"]).filter(F.arrays_overlap("seeds_a", "seeds_b")).select(*_PAIR)
+
+
+def candidates(texts: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED, rare: int = RARE, within: int = K, fuzzy: bool = False) -> DataFrame:
+    """(a1, a2, b1, b2), written: classes that share a seed, (a1, a2) < (b1, b2); of formulas, those that share k words around it and, for ``fuzzy`` passages, those whose spans may
+    make a chain of k words. Each stretch of ``within`` words has a seed."""
     linked = linked_seeds(texts, scratch, min(k, within), seed)
     formulas = scratch.put(linked.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > rare).select("h"))
     usual = _both(linked.join(formulas, "h", "left_anti"), ["h"])
     held = linked.join(formulas, "h").groupBy(*_CLASS).agg(F.collect_list("h").alias("seeds"))  # bounded: the seeds of one text
     around = class_texts(texts, held.select(*_CLASS)).join(held, _CLASS)
+    found = [usual]
+    if fuzzy and k > seed and not formulas.isEmpty():  # a span of k words is all there is to a chain where seeds have as many
+        around = scratch.put(around)
+        found.append(near(around, scratch, k, seed, rare))
     longer = stretches(around, k, seed, "seeds").select("g1", "g2", *_CLASS).distinct()
-    return scratch.put(usual.unionByName(_both(longer, ["g1", "g2"])).distinct())
+    return scratch.put(reduce(DataFrame.unionByName, [*found, _both(longer, ["g1", "g2"])]).distinct())
 
 
 def passages(texts: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED, rare: int = RARE, within: int = K, fuzzy: bool = True) -> DataFrame:
@@ -310,7 +390,7 @@ def passages(texts: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED, r
     A chain counts if k words or more of it agree: ``exact`` words in exact spans of ``seed`` words or more, the ``longest`` of which is given, ``matched`` with those in the gaps
     between them. Without ``fuzzy`` only the first chain with an exact span of k words comes out, and gaps are not aligned (matched is exact).
     """
-    pairs = candidates(texts, scratch, k, seed, rare, within)
+    pairs = candidates(texts, scratch, k, seed, rare, within, fuzzy)
     needed = _name(pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct(), "x")
     read = scratch.put(class_texts(texts, needed.select(F.col("x1").alias("c1"), F.col("x2").alias("c2"))))
     both = pairs.join(_name(read, "a", "text"), ["a1", "a2"]).join(_name(read, "b", "text"), ["b1", "b2"])
@@ -364,8 +444,8 @@ def fuzzy_passages(texts: DataFrame, key: str, k: int = K, seed: int = FUZZY_SEE
     (a1, a2) and (b1, b2) are classes of equal texts; ``class_members`` tells which records have them. Each is shown by its text with the least key, or by the
     one with the greatest where both would be of one record and another record has the class. Chain 0 is the best one of the pair, further ones follow until
     every span is in a chain; see ``passages`` for what counts. A class that several records have comes out with itself, too, as one chain of the whole text. matched / passage tells
-    how close a passage is. Classes that share k consecutive words are always found, and those that share ``within`` of them unless their seeds are formulas; of those that only share
-    shorter spans most are, the more spans the surer.
+    how close a passage is. Classes that share k consecutive words are always found, and so are chains of k words of classes that share ``within`` consecutive ones, however many
+    have them; of those that only share shorter spans most are, the more spans the surer.
     Null texts and texts under k words link nothing; an empty table gives an empty table.
     """
     scratch = Scratch(texts.sparkSession, "passages")

@@ -189,6 +189,30 @@ def test_edited_passages_are_found(spark):
     assert right >= 0.9 * planted and right == len(found)
 
 
+def test_passages_of_formulas_are_found(spark):
+    """A formula that more texts have than a seed may pair drops no passage: every limit gives the rows of no limit."""
+    eight, seven, six = ([f"{c}{i}" for i in range(n)] for c, n in (("e", 8), ("s", 7), ("x", 6)))
+    named = [(key, " ".join([*eight, f"name{key}", *seven])) for key in range(5)]  # 15 words agree, no 12 in a row
+    alone = [(key, " ".join([*(f"w{key}-{i}" for i in range(9)), *eight, *(f"v{key}-{i}" for i in range(9))])) for key in range(5, 9)]  # 8 words agree
+    sided = lambda rows: spans.sides(spark.createDataFrame(rows, "match_id long, text string"), "match_id", ["text"])
+    columns = ["match_id_a", "match_id_b", "chain", "score", "exact", "longest", "matched", "passage_a", "passage_b"]
+    listed = lambda rows, rare: rows_of(spans.fuzzy_passages(sided(rows), "match_id", rare=rare).select(*columns))
+    assert {(min(r[:2]), max(r[:2]), r[4], r[6]) for r in listed(named + alone, 4)} == {(a, b, 15, 15) for b in range(5) for a in range(b)}
+    # pieces in any order with gaps, words put in between, pieces cut short at the ends of a text, sequences with many places
+    rng = random.Random(3)
+    rows = []
+    for key in range(40):
+        words = []
+        for _ in range(rng.randint(2, 7)):
+            piece = rng.choice([eight, seven, six, ["a"] * 13, ["b", "c"] * 6])
+            words += piece[rng.choice([0, 0, 1, 2]) : rng.choice([5, 6, 7, 8, 13])] + [f"y{rng.randint(0, 5)}" for _ in range(rng.choice([0, 1, 1, 2, 20, 30]))]
+        rows.append((key, " ".join(words)))
+    want = listed(rows, 10**6)
+    assert sum(r[5] < 12 for r in want) > 100
+    for rare in (1, 4, 12):
+        assert listed(rows, rare) == want
+
+
 def test_texts_that_repeat_themselves():
     for x, y, want in [("a " * 500, "a " * 300 + "b", 300), ("a b " * 200, "c " + "b a " * 90, 180), ("v " + "x " * 20 + "y z w v", "x " * 8 + "y z w v", 12), ("a " * 40 + "b", "b " + "a " * 5, 5)]:
         x, y = x.split(), y.split()
